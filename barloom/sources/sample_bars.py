@@ -116,8 +116,9 @@ def market_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trade log with surplus closes: lines as trades, by return flag and line number."""
     lines = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_suppkey").orderBy(
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"
+    # `seq` orders the trades of one date.
+    order = Window.partitionBy("l_suppkey", "l_shipdate").orderBy(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"
     )
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return lines.select(
