@@ -213,6 +213,14 @@ def with_ewm(df: DataFrame, series: Series, **specs: Ewm) -> DataFrame:
     return df.withColumns(out).drop(*local, *carry, *(f"_n_{n}" for n in started))
 
 
+# Columns left on a frame while indicators are being added, so that the next one can use them:
+# the position, block numbers, and shared indicators.
+HELPERS = ("_pos", "_blk", "_ind_")
+
+
+def helper_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(HELPERS)]
+
+
 def drop_helpers(df: DataFrame) -> DataFrame:
-    """Remove the position and block columns left for the next average in a chain."""
-    return df.drop(*(c for c in df.columns if c == "_pos" or c.startswith("_blk")))
+    return df.drop(*helper_columns(df))

@@ -15,41 +15,62 @@ ANNUAL = math.sqrt(TRADING_DAYS)
 
 def with_rsi(df: DataFrame, series: Series, window: int = 14, out: str = "rsi") -> DataFrame:
     """Wilder RSI. Row 0 counts as a move of 0 and towards the warm-up; 100 without losses."""
-    move = F.coalesce(series.diff("close"), F.lit(0.0))
-    df = df.withColumn("_move", move).withColumns(
-        {
-            "_gain": F.greatest("_move", F.lit(0.0)),
-            "_loss": F.greatest(-F.col("_move"), F.lit(0.0)),
-        }
-    )
-    df = with_ewm(
-        df, series, _ag=Ewm.wilder("_gain", window), _al=Ewm.wilder("_loss", window)
-    )
-    rsi = F.when(F.col("_al") == 0, F.lit(100.0)).otherwise(
-        100 - F.try_divide(F.lit(100.0), 1 + F.try_divide("_ag", "_al"))
-    )
-    return df.withColumn(out, rsi).drop("_move", "_gain", "_loss", "_ag", "_al")
+    shared = f"_ind_rsi{window}"
+    if shared not in df.columns:
+        move = F.coalesce(series.diff("close"), F.lit(0.0))
+        df = df.withColumn("_move", move).withColumns(
+            {
+                "_gain": F.greatest("_move", F.lit(0.0)),
+                "_loss": F.greatest(-F.col("_move"), F.lit(0.0)),
+            }
+        )
+        df = with_ewm(
+            df, series, _ag=Ewm.wilder("_gain", window), _al=Ewm.wilder("_loss", window)
+        )
+        rsi = F.when(F.col("_al") == 0, F.lit(100.0)).otherwise(
+            100 - F.try_divide(F.lit(100.0), 1 + F.try_divide("_ag", "_al"))
+        )
+        df = df.withColumn(shared, rsi).drop("_move", "_gain", "_loss", "_ag", "_al")
+    return df.withColumn(out, F.col(shared))
+
+
+def with_mean(df: DataFrame, series: Series, window: int, out: str, value="close") -> DataFrame:
+    """Simple moving average."""
+    shared = f"_ind_ma{window}_{value}"
+    if shared not in df.columns:
+        df = df.withColumn(shared, series.mean(value, window))
+    return df.withColumn(out, F.col(shared))
 
 
 def with_bands(df: DataFrame, series: Series, window=20, num_std=2.0, prefix="") -> DataFrame:
-    names = {"mid": f"{prefix}bb_sma", "std": f"{prefix}bb_std"}
-    df = df.withColumns(
-        {names["mid"]: series.mean("close", window), names["std"]: series.std("close", window)}
-    )
-    width = F.col(names["std"]) * num_std
+    mid, std, shared = f"{prefix}bb_sma", f"{prefix}bb_std", f"_ind_std{window}"
+    df = with_mean(df, series, window, mid)
+    if shared not in df.columns:
+        df = df.withColumn(shared, series.std("close", window))
+    width = F.col(shared) * num_std
     return df.withColumns(
         {
-            f"{prefix}upper_band": F.col(names["mid"]) + width,
-            f"{prefix}lower_band": F.col(names["mid"]) - width,
+            std: F.col(shared),
+            f"{prefix}upper_band": F.col(mid) + width,
+            f"{prefix}lower_band": F.col(mid) - width,
         }
     )
 
 
 def with_macd(df: DataFrame, series: Series, fast=12, slow=26, signal=9) -> DataFrame:
-    df = with_ewm(df, series, _fast=Ewm.span("close", fast), _slow=Ewm.span("close", slow))
-    df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    df = with_ewm(df, series, macd_signal=Ewm.span("macd", signal))
-    return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    line, smooth = f"_ind_macd{fast}_{slow}", f"_ind_macd{fast}_{slow}_{signal}"
+    if line not in df.columns:
+        df = with_ewm(df, series, _fast=Ewm.span("close", fast), _slow=Ewm.span("close", slow))
+        df = df.withColumn(line, F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    if smooth not in df.columns:
+        df = with_ewm(df, series, **{smooth: Ewm.span(line, signal)})
+    return df.withColumns(
+        {
+            "macd": F.col(line),
+            "macd_signal": F.col(smooth),
+            "macd_histogram": F.col(line) - F.col(smooth),
+        }
+    )
 
 
 def with_true_range(df: DataFrame, series: Series, out: str = "true_range") -> DataFrame:
@@ -113,14 +134,14 @@ def with_regime(
     slope is reported and does not decide."""
     df = with_volatility(df, series, vol_window)
     df = with_slope(df, series, slope_window)
-    df = drop_helpers(with_adx(df, series, adx_window))
+    df = with_adx(df, series, adx_window)
     regime = (
         F.when(F.col("volatility_ann") > vol_crisis, "crisis")
         .when(F.col("adx") > adx_trend, "trending")
         .when(F.col("adx") < adx_range, "ranging")
         .otherwise("ranging")
     )
-    return df.withColumn("regime", regime)
+    return drop_helpers(df.withColumn("regime", regime))
 
 
 def regime_counts(df: DataFrame, *keys: str) -> DataFrame:

@@ -73,7 +73,14 @@ def decisive_rows(signals: DataFrame, series: Series) -> DataFrame:
     )
     low = F.min(F.when(F.col("open") > 0, F.col("open"))).over(earlier)
     new_low = (F.col("open") > 0) & (low.isNull() | (F.col("open") < low))
-    return df.withColumn("new_low", new_low).where("turn OR new_low")
+    return (
+        df.withColumn("new_low", new_low)
+        .where("turn OR new_low")
+        .select(*series.keys, series.order, "open", "trade_signal")
+        # The rows are few, and more than one result is usually made from the trades: an exchange
+        # here is what Spark reuses, so the signals are computed once.
+        .repartition(*series.keys, series.order)
+    )
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

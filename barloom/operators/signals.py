@@ -1,4 +1,8 @@
-"""Signal generators: bars in, the same bars with indicator columns and `signal` in {-1, 0, 1}."""
+"""Signal generators: bars in, the same bars with indicator columns and `signal` in {-1, 0, 1}.
+
+The functions leave helper columns behind (see `drop_helpers`), so that strategies added one after
+the other share averages; `Strategy.signals` removes them.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.series import Series, drop_helpers, with_position
-from barloom.operators.indicators import with_bands, with_macd, with_rsi
+from barloom.operators.indicators import with_bands, with_macd, with_mean, with_rsi
 
-# Two averages closer than this are equal: the order of summation decides the last digits.
+# Prices and averages closer than this are equal: the order of summation decides the last digits.
 TIE = 1e-9
 
 
@@ -28,15 +32,14 @@ def buy_and_hold(df: DataFrame, series: Series) -> DataFrame:
 
 
 def sma_crossover(df: DataFrame, series: Series, short_window=50, long_window=200) -> DataFrame:
-    df = df.withColumns(
-        {"short_ma": series.mean("close", short_window), "long_ma": series.mean("close", long_window)}
-    )
+    df = with_mean(df, series, short_window, "short_ma")
+    df = with_mean(df, series, long_window, "long_ma")
     lead = F.col("short_ma") - F.col("long_ma")
     return df.withColumn("signal", _signal(lead > TIE, lead <= TIE))
 
 
 def rsi_reversion(df: DataFrame, series: Series, window=14, overbought=70, oversold=30) -> DataFrame:
-    df = drop_helpers(with_rsi(df, series, window))
+    df = with_rsi(df, series, window)
     return df.withColumn("signal", _signal(F.col("rsi") < oversold, F.col("rsi") > overbought))
 
 
@@ -49,11 +52,9 @@ def bollinger(df: DataFrame, series: Series, window=20, num_std=2.0) -> DataFram
 
 
 def macd_cross(df: DataFrame, series: Series, fast=12, slow=26, signal=9) -> DataFrame:
-    df = drop_helpers(with_macd(df, series, fast, slow, signal))
-    return df.withColumn(
-        "signal",
-        _signal(F.col("macd") > F.col("macd_signal"), F.col("macd") < F.col("macd_signal")),
-    )
+    df = with_macd(df, series, fast, slow, signal)
+    lead = F.col("macd_histogram")
+    return df.withColumn("signal", _signal(lead > TIE, lead < -TIE))
 
 
 def multi_factor(
@@ -71,15 +72,12 @@ def multi_factor(
     vol_multiplier=1.5,
 ) -> DataFrame:
     """Points from RSI (2), bands (2), high volume (+1 only), MACD histogram (1), trend (1)."""
-    df = with_bands(df, series, bb_window, bb_std, prefix="mf_").withColumns(
-        {
-            "mf_avg_volume": series.mean("volume", vol_window),
-            "mf_trend_ma": series.mean("close", trend_window),
-        }
-    )
+    df = with_bands(df, series, bb_window, bb_std, prefix="mf_")
+    df = with_mean(df, series, vol_window, "mf_avg_volume", "volume")
+    df = with_mean(df, series, trend_window, "mf_trend_ma")
     df = with_rsi(df, series, rsi_window, out="mf_rsi")
     df = with_macd(df, series, macd_fast, macd_slow, macd_signal)
-    df = drop_helpers(df).withColumn("_rise", series.diff("macd_histogram"))
+    df = df.withColumn("_rise", series.diff("macd_histogram"))
     close = F.col("close")
     score = (
         _points(F.col("mf_rsi") < 35, 2)
@@ -87,8 +85,8 @@ def multi_factor(
         + _points(close < F.col("mf_lower_band"), 2)
         - _points(close > F.col("mf_upper_band"), 2)
         + _points(F.col("volume") > F.col("mf_avg_volume") * vol_multiplier, 1)
-        + _points(F.col("_rise") > 0, 1)
-        - _points(F.col("_rise") < 0, 1)
+        + _points(F.col("_rise") > TIE, 1)
+        - _points(F.col("_rise") < -TIE, 1)
         + _points(close > F.col("mf_trend_ma"), 1)
         - _points(close < F.col("mf_trend_ma"), 1)
     )
@@ -130,12 +128,9 @@ def momentum_pullback(
     trend_ma=200,
 ) -> DataFrame:
     """Enter on an RSI dip in a rising, trending series; leave when RSI has recovered."""
-    df = with_position(df, series).withColumns(
-        {
-            "momentum_return": series.pct_change("close", momentum_window),
-            "trend_ma": series.mean("close", trend_ma),
-        }
-    )
+    df = with_position(df, series)
+    df = df.withColumn("momentum_return", series.pct_change("close", momentum_window))
+    df = with_mean(df, series, trend_ma, "trend_ma")
     df = with_rsi(df, series, rsi_window, out="momr_rsi")
     enter = (
         (F.col("_pos") >= momentum_window)
@@ -143,7 +138,7 @@ def momentum_pullback(
         & (F.col("close") > F.col("trend_ma"))
         & (F.col("momr_rsi") < entry_rsi)
     )
-    return drop_helpers(hysteresis(df, series, enter, F.col("momr_rsi") > exit_rsi))
+    return hysteresis(df, series, enter, F.col("momr_rsi") > exit_rsi)
 
 
 @dataclass(frozen=True)
@@ -159,7 +154,7 @@ class Strategy:
         return self.title.format(**{**self.params, **params})
 
     def signals(self, df: DataFrame, series: Series, **params) -> DataFrame:
-        return self.make(df, series, **{**self.params, **params})
+        return drop_helpers(self.make(df, series, **{**self.params, **params}))
 
 
 STRATEGIES = {

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.series import Series
+from barloom.functions.series import Series, helper_columns
 from barloom.operators import ledger, metrics
 from barloom.operators.indicators import with_regime
 from barloom.operators.ledger import Rules
@@ -20,14 +20,26 @@ CHAIN = 8
 
 
 def backtest(
-    signals: DataFrame, series: Series, rules: Rules = Rules(), stops: StopRules | None = None
+    signals: DataFrame, series: Series, rules: Rules = Rules(), stops: StopRules | None = None,
+    marks: DataFrame | None = None, keep: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(trades, equity) of every series in the frame."""
+    """(trades, equity) of every series in the frame. `marks` holds the bars to value positions
+    at, where they can be had without computing the signals again. With `keep` the trades are
+    persisted for the results made from them; unpersist them when done."""
     if stops is None:
         trade_list = ledger.trades(signals, series, rules)
     else:
         trade_list = trades_with_stops(signals, series, rules, stops)
-    return trade_list, ledger.equity(signals, trade_list, series, rules.initial_capital)
+    if keep:
+        trade_list = trade_list.persist()
+    bars = signals if marks is None else marks
+    return trade_list, ledger.equity(bars, trade_list, series, rules.initial_capital)
+
+
+def fan_out(bars: DataFrame, series: Series, label: str, values: list) -> DataFrame:
+    """The closes once per value of `label`."""
+    each = F.explode(F.array(*(F.lit(v) for v in values))).alias(label)
+    return bars.select(*series.keys, series.order, "close", each)
 
 
 # -- parameter grids -------------------------------------------------------------------------------
@@ -62,8 +74,8 @@ def stacked_signals(
 ) -> DataFrame:
     """Signals of several (label value, strategy, parameters), one row per bar and job.
 
-    The strategies are chained on the same bars, so these are read, shuffled and sorted once,
-    and a bar fans out only when all its signals are known. Long lists are cut in chains, since
+    The strategies are chained on the same bars and share indicators, so the bars are read and
+    shuffled once, and a bar fans out only when all its signals are known. Long lists are cut in chains, since
     the plan grows with every strategy in a chain.
     """
     base, parts = bars.columns, []
@@ -72,9 +84,11 @@ def stacked_signals(
         df, done = bars, []
         for value, strategy, params in jobs[at : at + CHAIN]:
             name = f"_s{len(done)}"
-            df = strategy.signals(df, series, **params).withColumnRenamed("signal", name)
+            df = strategy.make(df, series, **{**strategy.params, **params})
             done.append((value, name))
-            df = df.select(*base, *(n for _, n in done))
+            df = df.withColumn(name, F.col("signal")).select(
+                *base, *(n for _, n in done), *helper_columns(df)
+            )
         rows = F.array(*(F.struct(F.lit(v).alias(label), F.col(n).alias("signal")) for v, n in done))
         parts.append(df.select(*series.keys, series.order, *keep, F.inline(rows)))
     return reduce(DataFrame.unionByName, parts)
@@ -96,7 +110,8 @@ def grid_search(
     sets = parameter_sets(grid)
     signals = grid_signals(bars, series, strategy, sets)
     by_run = series.within("run_id")
-    trade_list, curve = backtest(signals, by_run, rules)
+    marks = fan_out(bars, series, "run_id", list(range(len(sets))))
+    trade_list, curve = backtest(signals, by_run, rules, marks=marks)
     result = metrics.all_metrics(curve, trade_list, by_run)
     # The parameter sets come from the caller's code, so their table is small by construction.
     lookup = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in s.items())) for s in sets))
@@ -227,7 +242,8 @@ def compare_strategies(
     """`results` (metrics and composite score), `equity` and `regimes` for every series."""
     by_strategy = series.within("strategy")
     signals = strategy_signals(bars, series, names, **params)
-    trade_list, curve = backtest(signals, by_strategy, rules, stops)
+    marks = fan_out(bars, series, "strategy", list(names))
+    trade_list, curve = backtest(signals, by_strategy, rules, stops, marks)
     results = metrics.all_metrics(curve, trade_list, by_strategy)
     return {
         "results": composite(results, *series.keys),

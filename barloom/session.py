@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A strategy comparison has more generated classes than the default cache of 100 holds, and
+    # every task would compile them again.
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 

@@ -292,7 +292,7 @@ SIGNALS = {
     "rsi": (IND, "SELECT *, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 ELSE 0 END AS signal FROM ind"),
     "macd": (
         IND,
-        "SELECT *, CASE WHEN macd > macd_signal THEN 1 WHEN macd < macd_signal THEN -1 ELSE 0 END AS signal FROM ind",
+        "SELECT *, CASE WHEN macd_histogram > 1e-9 THEN 1 WHEN macd_histogram < -1e-9 THEN -1 ELSE 0 END AS signal FROM ind",
     ),
     "bollinger": (
         (MOVES, BARS, BB),
@@ -305,7 +305,7 @@ scored AS (SELECT *,
   CASE WHEN rsi < 35 THEN 2 WHEN rsi > 65 THEN -2 ELSE 0 END
   + CASE WHEN close < sma - 2 * sd THEN 2 WHEN close > sma + 2 * sd THEN -2 ELSE 0 END
   + CASE WHEN volume > av * 1.5::double THEN 1 ELSE 0 END
-  + CASE WHEN rise > 0 THEN 1 WHEN rise < 0 THEN -1 ELSE 0 END
+  + CASE WHEN rise > 1e-9 THEN 1 WHEN rise < -1e-9 THEN -1 ELSE 0 END
   + CASE WHEN close > ma200 THEN 1 WHEN close < ma200 THEN -1 ELSE 0 END AS mf_score FROM factors)"""
 SIGNALS["multi_factor"] = (
     (*IND, MULTI),
@@ -461,9 +461,9 @@ def metric_ctes(keys: str = "ticker") -> str:
     return f"""eq1 AS (SELECT {keys}, date, total_equity AS e, total_equity / lag(total_equity) OVER ({w}) - 1 AS ret,
     max(total_equity) OVER {up} AS peak,
     max(total_equity) OVER ({w} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS peak14 FROM curve),
-eq2 AS (SELECT *, sum(CASE WHEN e < peak THEN 0 ELSE 1 END) OVER {up} AS island FROM eq1),
+eq2 AS (SELECT *, sum(CASE WHEN e < peak * (1 - 1e-12::double) THEN 0 ELSE 1 END) OVER {up} AS island FROM eq1),
 under AS (SELECT {keys}, max(n) AS max_dd_duration FROM (
-    SELECT {keys}, island, count(*) FILTER (e < peak) AS n FROM eq2 GROUP BY ALL) GROUP BY ALL),
+    SELECT {keys}, island, count(*) FILTER (e < peak * (1 - 1e-12::double)) AS n FROM eq2 GROUP BY ALL) GROUP BY ALL),
 stats AS (SELECT {keys}, arg_min(e, date) AS e0, arg_max(e, date) AS e1, date_diff('day', min(date), max(date)) AS days,
     stddev_samp(ret) AS sd, avg(ret) AS mu, stddev_samp(ret) FILTER (ret < -1e-12) AS dsd, count(*) FILTER (ret < -1e-12) AS nd, count(ret) AS n,
     min((e - peak) / peak) AS mdd, sqrt(avg(pow((e - peak14) / peak14 * 100, 2))) AS ulcer,
@@ -659,16 +659,16 @@ def grown(initial: float = 1.0, source: str = "drawn") -> str:
   (PARTITION BY ticker, sim ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * {initial}::double AS value FROM {source})"""
 
 
-_fan = ", ".join(f"{r(f'quantile_cont(value, {p})', 6)} AS p{int(p * 100)}" for p in (0.05, 0.25, 0.5, 0.75, 0.95))
+_fan = ", ".join(f"{r(f'quantile_cont(value, {p})', 9)} AS p{int(p * 100)}" for p in (0.05, 0.25, 0.5, 0.75, 0.95))
 ORACLES["bootstrap_fan"] = sql(
     MOVES, SLOTS, DRAWN, grown(), select=f"SELECT ticker, day, {_fan} FROM paths GROUP BY 1, 2"
 )
 
 
 def terminal(initial: float) -> str:
-    return f"""SELECT ticker, {r('avg(value)', 6)} AS mean_final, {r('quantile_cont(value, 0.5)', 6)} AS median_final,
-  {r('stddev_samp(value)', 6)} AS std_final, {r('quantile_cont(value, 0.05)', 6)} AS worst_case_5pct,
-  {r('quantile_cont(value, 0.95)', 6)} AS best_case_95pct,
+    return f"""SELECT ticker, {r('avg(value)', 9)} AS mean_final, {r('quantile_cont(value, 0.5)', 9)} AS median_final,
+  {r('stddev_samp(value)', 9)} AS std_final, {r('quantile_cont(value, 0.05)', 9)} AS worst_case_5pct,
+  {r('quantile_cont(value, 0.95)', 9)} AS best_case_95pct,
   {r(f'avg(CASE WHEN value / {initial}::double > 1 THEN 1.0::double ELSE 0 END)', 6)} AS prob_profit,
   {r(f'avg(CASE WHEN value / {initial}::double < 0.8::double THEN 1.0::double ELSE 0 END)', 6)} AS prob_loss_20pct
 FROM paths WHERE day = {HORIZON} GROUP BY 1"""

@@ -42,7 +42,9 @@ def sma(spark, d, **params) -> DataFrame:
 
 
 def long_run(spark, d, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame]:
-    return experiments.backtest(sma(spark, d), TICKER, rules)
+    bars = D.walk_bars(spark, d)
+    signals = STRATEGIES["SMA Crossover"].signals(bars, TICKER, **SHORT_SMA)
+    return experiments.backtest(signals, TICKER, rules, marks=bars)
 
 
 # -- bars and storage --------------------------------------------------------------------------------
@@ -581,12 +583,12 @@ def _paths(spark, d, **options) -> DataFrame:
 @query
 def bootstrap_fan(spark, d):
     df = bootstrap.fan(_paths(spark, d), "ticker").withColumn("day", F.col("day").cast("bigint"))
-    return rounded(df, **{p: 6 for p in bootstrap.FAN})
+    return rounded(df, **{p: 9 for p in bootstrap.FAN})
 
 
 SUMMARY = {
-    "mean_final": 6, "median_final": 6, "std_final": 6, "worst_case_5pct": 6,
-    "best_case_95pct": 6, "prob_profit": 6, "prob_loss_20pct": 6,
+    "mean_final": 9, "median_final": 9, "std_final": 9, "worst_case_5pct": 9,
+    "best_case_95pct": 9, "prob_profit": 6, "prob_loss_20pct": 6,
 }
 
 
