@@ -58,15 +58,30 @@ def sma_grid_signals(bars: DataFrame, series: Series, sets: list[dict]) -> DataF
     """Signals of many SMA crossovers. Each distinct window is averaged once per bar; a bar then
     yields one narrow row per run, without a join."""
     windows = sorted({w for s in sets for w in (s["short_window"], s["long_window"])})
-    df = bars.withColumns({f"_ma{n}": series.mean("close", n) for n in windows})
-
-    def run(i: int, s: dict):
-        lead = F.col(f"_ma{s['short_window']}") - F.col(f"_ma{s['long_window']}")
-        signal = F.when(lead > TIE, 1).when(lead <= TIE, -1).otherwise(0)
-        return F.struct(F.lit(i).alias("run_id"), signal.alias("signal"))
-
-    runs = F.array(*(run(i, s) for i, s in enumerate(sets)))
-    return df.select(*series.keys, series.order, "open", "close", F.inline(runs))
+    averages = F.array(*(F.coalesce(F.col(f"_ma{n}"), F.lit(float("nan"))) for n in windows))
+    df = bars.withColumns({f"_ma{n}": series.mean("close", n) for n in windows}).select(
+        *series.keys, series.order, "open", "close", averages.alias("_ma")
+    )
+    # Per run only its number and the places of its two averages are multiplied out; the signal
+    # is worked out on the narrow row afterwards.
+    at = {n: i for i, n in enumerate(windows)}
+    runs = F.array(
+        *(
+            F.struct(
+                F.lit(i).alias("run_id"),
+                F.lit(at[s["short_window"]]).alias("_short"),
+                F.lit(at[s["long_window"]]).alias("_long"),
+            )
+            for i, s in enumerate(sets)
+        )
+    )
+    df = df.select("*", F.inline(runs))
+    lead = F.col("_ma")[F.col("_short")] - F.col("_ma")[F.col("_long")]
+    # NaN marks the warm-up inside the array; it never reaches a result.
+    signal = F.when(F.isnan(lead), 0).when(lead > TIE, 1).otherwise(-1)
+    return df.select(
+        "run_id", *series.keys, series.order, "open", "close", signal.alias("signal")
+    )
 
 
 def stacked_signals(
@@ -89,8 +104,12 @@ def stacked_signals(
             df = df.withColumn(name, F.col("signal")).select(
                 *base, *(n for _, n in done), *helper_columns(df)
             )
-        rows = F.array(*(F.struct(F.lit(v).alias(label), F.col(n).alias("signal")) for v, n in done))
-        parts.append(df.select(*series.keys, series.order, *keep, F.inline(rows)))
+        df = df.select(
+            *series.keys, series.order, *keep,
+            F.posexplode(F.array(*(n for _, n in done))).alias("_at", "signal"),
+        )
+        labels = F.array(*(F.lit(v) for v, _ in done))
+        parts.append(df.withColumn(label, labels[F.col("_at")]).drop("_at"))
     return reduce(DataFrame.unionByName, parts)
 
 
