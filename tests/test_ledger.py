@@ -1,0 +1,224 @@
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from conftest import ordered, prices, walk
+from pyspark.sql import functions as F
+
+from barloom import Series
+from barloom.operators import ledger, stops
+from barloom.operators.ledger import Rules
+from barloom.operators.stops import StopRules
+
+S = Series("ticker")
+
+
+def loop(g, r: Rules):
+    """Bar-by-bar ledger in plain Python, without stops: (date index, action, quantity, cash)."""
+    cash, held, out, prev = r.initial_capital, 0, [], 0
+    for i, (raw, s) in enumerate(zip(g["open"], g["signal"])):
+        s, prev = prev, s
+        if s == 0 or s * held > 0:
+            continue
+        up = raw * (1 + s * r.slippage)
+        unit = up * (1 + r.commission)
+        if held:
+            q = abs(held)
+            if s > 0 and not r.cost_inclusive and q * unit > cash:
+                q = math.floor(cash / unit)
+            if q > 0:
+                cash += -s * q * up - q * up * r.commission
+                held += s * q
+                out.append((i, "COVER" if s > 0 else "SELL", q, cash))
+        if held or (s < 0 and not r.allow_short):
+            continue
+        if r.cost_inclusive:
+            q = math.floor(cash * r.allocation / unit)
+        elif raw <= 0 or cash <= 0:
+            q = 0
+        else:
+            if r.method == "fixed_shares":
+                q = r.shares if r.shares * raw <= cash else math.floor(cash / raw)
+            else:
+                part = r.allocation
+                if r.method == "kelly":
+                    part = max(0, min((r.win_rate / r.avg_loss - (1 - r.win_rate) / r.avg_win) / 2, 0.25))
+                q = math.floor(cash * part / raw)
+            if q == 0 and raw <= cash:
+                q = 1
+            if (q * unit if s > 0 else q * up) > cash:
+                q = math.floor(cash / unit)
+        if q > 0:
+            cash += -s * q * up - q * up * r.commission
+            held += s * q
+            out.append((i, "BUY" if s > 0 else "SHORT", q, cash))
+    return out
+
+
+def random_signals(seed, n=400, sigma=0.05):
+    rng = np.random.default_rng(seed)
+    parts = []
+    for k in range(4):
+        pdf = walk(f"T{k}", n, seed * 10 + k, sigma)
+        pdf["signal"] = rng.choice([-1, 0, 0, 0, 1], n)
+        parts.append(pdf)
+    return pd.concat(parts, ignore_index=True)
+
+
+RULES = {
+    "long": Rules(),
+    "short": Rules(allow_short=True),
+    "inclusive": Rules(allow_short=True, cost_inclusive=True),
+    "shares": Rules(method="fixed_shares", shares=30, allow_short=True),
+    "kelly": Rules(method="kelly", win_rate=0.6, avg_win=3, avg_loss=2, allow_short=True),
+    "poor": Rules(initial_capital=110.0, allow_short=True),
+    "poorer": Rules(initial_capital=60.0),
+    "all in": Rules(initial_capital=330.0, allocation=1.0, allow_short=True),
+}
+
+
+@pytest.mark.parametrize("name", list(RULES))
+def test_ledger_matches_a_loop(spark, name):
+    pdf, rules = random_signals(len(name)), RULES[name]
+    got = ordered(ledger.trades(spark.createDataFrame(pdf), S, rules), "ticker", "seq")
+    seen = 0
+    for ticker, g in pdf.groupby("ticker"):
+        mine = got[got["ticker"] == ticker]
+        want = loop(g, rules)
+        dates = g["date"].tolist()
+        assert mine["date"].tolist() == [dates[w[0]] for w in want]
+        assert mine["action"].tolist() == [w[1] for w in want]
+        assert mine["quantity"].tolist() == [w[2] for w in want]
+        np.testing.assert_allclose(mine["cash"], [w[3] for w in want], rtol=1e-9)
+        seen += len(want)
+    assert seen > 0
+
+
+@pytest.mark.parametrize("name", ["long", "short", "shares", "kelly", "poor", "all in"])
+def test_stop_ledger_without_stops_is_the_plain_ledger(spark, name):
+    df, rules = spark.createDataFrame(random_signals(5)), RULES[name]
+    columns = ["ticker", "date", "seq", "action", "quantity", "cash", "shares"]
+    plain = ordered(ledger.trades(df, S, rules).select(columns), "ticker", "seq")
+    far = StopRules(atr_multiplier=1e9)
+    stopped = ordered(stops.trades_with_stops(df, S, rules, far).select(columns), "ticker", "seq")
+    pd.testing.assert_frame_equal(plain, stopped)
+
+
+def test_long_runs_of_one_signal_keep_few_rows(spark):
+    pdf = walk("T", 2000, 4)
+    pdf["signal"] = np.repeat([1, -1], 1000)
+    kept = ledger.decisive_rows(spark.createDataFrame(pdf), S).count()
+    assert 2 <= kept < 100
+
+
+def test_trades_happen_on_the_next_bar(spark):
+    df = prices(spark, [10.0] * 5).withColumn("signal", F.lit(1))
+    got = ordered(ledger.trades(df, S), "ticker", "seq")
+    dates = ordered(df)["date"]
+    assert got["date"].tolist() == [dates[1]]
+    assert got["price"].iloc[0] == pytest.approx(10.005)
+
+
+def test_signal_column_is_required(bars):
+    with pytest.raises(ValueError, match="signal"):
+        ledger.trades(bars, S)
+
+
+def test_one_share_when_the_allocation_is_too_small(spark):
+    df = prices(spark, [100.0] * 4).withColumn("signal", F.lit(1))
+    got = ordered(ledger.trades(df, S, Rules(initial_capital=200.0, allocation=0.1)), "seq")
+    assert got["quantity"].tolist() == [1]
+    assert ledger.trades(df, S, Rules(initial_capital=99.0)).count() == 0
+
+
+def test_part_filled_cover(spark):
+    """A short that has doubled in price can only be covered with the cash there is."""
+    df = prices(spark, [100, 100, 100, 250, 240, 90]).withColumn("signal", F.lit(0))
+    when = ordered(df)["date"]
+    sig = F.when(F.col("date") == F.lit(when[0]), -1).when(F.col("date") >= F.lit(when[2]), 1)
+    df = df.withColumn("signal", F.coalesce(sig, F.lit(0)))
+    rules = Rules(initial_capital=1000.0, allow_short=True, slippage=0.0, commission=0.0)
+    got = ordered(ledger.trades(df, S, rules), "seq")
+    assert got[["action", "quantity", "shares"]].values.tolist() == [
+        ["SHORT", 9.0, -9.0], ["COVER", 7.0, -2.0], ["COVER", 1.0, -1.0],
+    ]
+    far = StopRules(atr_multiplier=1e9)
+    other = ordered(stops.trades_with_stops(df, S, rules, far), "seq")
+    assert other["quantity"].tolist() == got["quantity"].tolist()
+
+
+def test_equity_has_every_bar_and_cash_stays_positive(spark):
+    df = spark.createDataFrame(random_signals(8))
+    trades = ledger.trades(df, S)
+    curve = ordered(ledger.equity(df, trades, S))
+    assert len(curve) == df.count()
+    assert (curve["cash"] >= -0.01).all()
+    np.testing.assert_allclose(curve["total_equity"], curve["cash"] + curve["shares"] * curve["close"])
+    assert (curve.groupby("ticker")["total_equity"].first() == 10_000).all()
+
+
+def stop_bars(spark, opens, signal):
+    n = len(opens)
+    opens = np.asarray(opens, dtype=float)
+    df = prices(spark, opens, high=opens + 1, low=opens - 1)
+    days = ordered(df)["date"]
+    at = F.array(*(F.lit(s) for s in signal))
+    number = F.row_number().over(S.w)
+    assert len(signal) == n == len(days)
+    return df.withColumn("signal", at[number - 1])
+
+
+def test_fixed_and_trailing_stops(spark):
+    # 20 flat bars warm the ATR (2), then a rise and a fall below the trailing level.
+    opens = [100.0] * 20 + [100, 110, 120, 112, 111, 111, 80, 80]
+    signal = [0] * 19 + [1] + [0] * 8
+    df = stop_bars(spark, opens, signal)
+    fixed = ordered(stops.trades_with_stops(df, S, Rules(), StopRules(trailing=False)), "seq")
+    trailing = ordered(stops.trades_with_stops(df, S, Rules(), StopRules()), "seq")
+    days = ordered(df)["date"].tolist()
+    assert fixed["date"].tolist() == [days[20], days[26]]
+    assert trailing["date"].tolist() == [days[20], days[23]]
+    assert trailing["action"].tolist() == ["BUY", "SELL"]
+
+
+def test_no_stop_when_entered_before_the_atr_is_warm(spark):
+    opens = [100.0] * 5 + [50.0] * 20
+    df = stop_bars(spark, opens, [1] + [0] * 24)
+    assert stops.trades_with_stops(df, S).count() == 1
+
+
+def test_reentry_on_the_bar_after_a_stop(spark):
+    opens = [100.0] * 20 + [100, 90, 90, 90]
+    df = stop_bars(spark, opens, [0] * 19 + [1] * 5)
+    got = ordered(stops.trades_with_stops(df, S), "seq")
+    days = ordered(df)["date"].tolist()
+    assert got["action"].tolist() == ["BUY", "SELL", "BUY"]
+    assert got["date"].tolist() == [days[20], days[21], days[22]]
+
+
+def test_circuit_breaker_holds_until_the_open_recovers(spark):
+    opens = [100.0] * 20 + [100, 90, 89, 88, 99.9, 99.9]
+    signal = [0] * 19 + [1, -1, -1, -1, -1, -1, -1]
+    df = stop_bars(spark, opens, signal)
+    base = {"atr_multiplier": 1e9, "circuit_breaker": True}
+    days = ordered(df)["date"].tolist()
+    latched = ordered(stops.trades_with_stops(df, S, Rules(), StopRules(**base)), "seq")
+    assert latched["date"].tolist() == [days[20], days[24]]
+    daily = StopRules(**base, breaker_resets=True)
+    moved = ordered(stops.trades_with_stops(df, S, Rules(), daily), "seq")
+    assert moved["date"].tolist() == [days[20], days[22]]
+
+
+def test_stop_fold_streams_batches(spark):
+    """Several Arrow batches per series carry the state from one to the next."""
+    df = spark.createDataFrame(random_signals(3))
+    whole = ordered(stops.trades_with_stops(df, S, Rules(allow_short=True)), "ticker", "seq")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "17")
+    try:
+        parts = ordered(stops.trades_with_stops(df, S, Rules(allow_short=True)), "ticker", "seq")
+    finally:
+        spark.conf.set(key, before)
+    pd.testing.assert_frame_equal(whole, parts)
