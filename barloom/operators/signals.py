@@ -157,6 +157,7 @@ class Strategy:
         return drop_helpers(self.make(df, series, **{**self.params, **params}))
 
 
+# Display names and default parameters.
 STRATEGIES = {
     "SMA Crossover": Strategy(
         sma_crossover,

@@ -217,6 +217,7 @@ def walk_forward(
 
 
 # -- strategy comparison -----------------------------------------------------------------------------
+# Weights of the composite score.
 WEIGHTS = {
     "sharpe_ratio": 0.35,
     "sortino_ratio": 0.25,

@@ -16,7 +16,7 @@ BAR_SCHEMA = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in VALUES]
 )
 
-# Provider headers as they arrive, and our names for them.
+# Provider headers as they arrive, and our names for them.
 PROVIDER_COLUMNS = {
     "Date": "date",
     "Datetime": "date",
@@ -125,6 +125,14 @@ def benchmark_equity(bars: DataFrame, series: Series, initial: float = 10_000.0)
     )
 
 
+def one_per_date(benchmark: DataFrame, order: str = "date") -> DataFrame:
+    """A benchmark ready to join: at most one row per date. On DATE bars the calendar then bounds
+    it (366 rows a year), so it is broadcast; finer benchmarks are left to Spark's size check."""
+    unique = benchmark.dropDuplicates([order])
+    daily = benchmark.schema[order].dataType.simpleString() == "date"
+    return F.broadcast(unique) if daily else unique
+
+
 def equal_weighted(rets: DataFrame, ret: str = "ret") -> DataFrame:
     """One benchmark return per date: the mean over the tickers trading that day."""
     return rets.groupBy("date").agg(F.avg(ret).alias("bench_ret"))

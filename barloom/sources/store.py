@@ -1,15 +1,16 @@
 """Parquet bar store: one table for all tickers and intervals.
 
 Layout: `interval=.../ticker=.../*.parquet`, sorted by date in each file, so ticker and interval
-prune directories and dates prune row groups. A ticker's rows are spread over one task per year
-when written, so a large ticker is neither one task nor one file.
+prune directories and dates prune row groups. Daily and longer bars of a ticker are one file, since
+the calendar bounds them; finer bars are spread over one task and file per month, so that a large
+ticker is neither one task nor one file.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,8 @@ from barloom.operators.clean import MIN_ROWS, clean
 from barloom.sources.bars import VALUES, date_range
 
 KEYS = ("interval", "ticker", "date")
+# Intervals of a day or more.
+DAILY = ("1d", "5d", "1wk", "1mo", "3mo")
 TAIL_TOLERANCE_DAYS = 3
 MIN_HIT_ROWS = 10
 
@@ -84,8 +87,9 @@ class BarStore:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def _write(self, rows: DataFrame, path: str, mode: str, **options) -> None:
+        piece = F.when(~F.col("interval").isin(*DAILY), F.date_trunc("month", "date"))
         (
-            rows.repartition("interval", "ticker", F.year("date"))
+            rows.repartition("interval", "ticker", piece)
             .sortWithinPartitions("interval", "ticker", "date")
             .write.partitionBy("interval", "ticker")
             .options(compression="snappy", **options)
@@ -148,9 +152,12 @@ class BarStore:
         return self._append(absent_rows(self.read(), prepare(bars, interval)))
 
     def _append(self, rows: DataFrame) -> int:
-        seen = Observation()
-        self._write(rows.observe(seen, F.count("*").alias("n")), self.path, "append")
-        return seen.get["n"]
+        rows = rows.persist()
+        n = rows.count()
+        if n:
+            self._write(rows, self.path, "append")
+        rows.unpersist()
+        return n
 
     def upsert(self, bars: DataFrame, interval: str = "1d") -> int:
         """Replace or add bars by date; the row count of the touched series afterwards.
@@ -159,15 +166,14 @@ class BarStore:
         input, and then replace exactly the partitions they belong to.
         """
         staging = f"{self.path}/_staging/{uuid.uuid4().hex}"
-        seen = Observation()
-        merged = merged_rows(self.read(), prepare(bars, interval))
-        self._write(merged.observe(seen, F.count("*").alias("n")), staging, "overwrite")
-        if seen.get["n"]:
-            staged = self.spark.read.schema(STORED).parquet(staging)
+        self._write(merged_rows(self.read(), prepare(bars, interval)), staging, "overwrite")
+        staged = self.spark.read.schema(STORED).parquet(staging)
+        n = staged.count()  # from the file footers
+        if n:
             self._write(staged, self.path, "overwrite", partitionOverwriteMode="dynamic")
         fs, where = self._fs(staging)
         fs.delete(where, True)
-        return seen.get["n"]
+        return n
 
     def ingest(self, source: DataFrame, requests: DataFrame, interval="1d", min_rows=MIN_ROWS):
         """Fill the store for all requests (ticker, start, end) at once from `source` bars and
