@@ -93,9 +93,12 @@ class Series:
 
     def slope_pct(self, c, n: int, x) -> Column:
         """Least-squares slope per row as % of the window mean; 0 where the mean is 0."""
-        mean = F.avg(col(c)).over(self.last_n(n))
-        slope = F.regr_slope(col(c), col(x)).over(self.last_n(n))
-        pct = F.when(mean == 0, F.lit(0.0)).otherwise(F.try_divide(slope, mean) * 100)
+        # The places in a full window are known, so two sums give the fit: far cheaper per frame
+        # than a regression aggregate. `x` is the row number in the series.
+        total = F.sum(col(c)).over(self.last_n(n))
+        weighted = F.sum(col(c) * col(x)).over(self.last_n(n))
+        slope = (weighted - (col(x) - (n - 1) / 2) * total) / (n * (n * n - 1) / 12)
+        pct = F.when(total == 0, F.lit(0.0)).otherwise(F.try_divide(slope * n, total) * 100)
         return F.when(self._full(c, n), pct)
 
     def rolling_max(self, c, n: int) -> Column:

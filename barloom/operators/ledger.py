@@ -62,7 +62,10 @@ def with_trade_signal(signals: DataFrame, series: Series) -> DataFrame:
 def decisive_rows(signals: DataFrame, series: Series) -> DataFrame:
     """Rows at which a position can change: turns of the signal and, within a stretch of equal
     signals, new lows of the open."""
-    df = with_trade_signal(signals, series).where("trade_signal <> 0")
+    # Keys are never NULL. Saying so here keeps the plans of all readers of the trades alike: joins
+    # on the keys would add it to some of them, and unlike plans are not reused.
+    keyed = signals.where(" AND ".join(f"{k} IS NOT NULL" for k in series.keys))
+    df = with_trade_signal(keyed, series).where("trade_signal <> 0")
     turn = F.coalesce(F.lag("trade_signal").over(series.w) != F.col("trade_signal"), F.lit(True))
     df = df.select(*series.keys, series.order, "open", "trade_signal", turn.alias("turn"))
     df = df.withColumn("stretch", F.count_if("turn").over(series.upto))

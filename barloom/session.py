@@ -15,6 +15,8 @@ SETTINGS = {
     # A strategy comparison has more generated classes than the default cache of 100 holds, and
     # every task would compile them again.
     "spark.sql.codegen.cache.maxEntries": "2000",
+    # The JVM does not compile methods longer than this, so longer ones run uncompiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Metrics aggregate rows that their windows left sorted by key: stream them instead of
     # hashing objects.
     "spark.sql.execution.replaceHashWithSortAgg": "true",

@@ -1,7 +1,8 @@
 """Headline workloads on local[$BENCH_CPUS] over $BENCH_SF_DIR; one JSON line on stdout.
 
-Every workload writes its full result to a sink that discards it. The first, untimed run of the
-indicators loads Spark's classes; each workload is then timed once, compilation included.
+Every workload writes its full result to a sink that discards it. All workloads run once untimed on the
+bars of a smaller scale next to it, where there is one, so that classes are loaded and expressions
+compiled; then each is timed once at full scale.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ def run(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def workloads(spark) -> dict:
-    bars = D.walk_bars(spark, SF_DIR)
+def workloads(spark, sf_dir: str) -> dict:
+    bars = D.walk_bars(spark, sf_dir)
     sma = STRATEGIES["SMA Crossover"]
 
     def all_indicators():
@@ -55,7 +56,7 @@ def workloads(spark) -> dict:
 
     def risk():
         _, curve = backtest()
-        return metrics.all_risk(curve, TICKER, D.market_returns(spark, SF_DIR))
+        return metrics.all_risk(curve, TICKER, D.market_returns(spark, sf_dir))
 
     def stop_ledger():
         found = sma.signals(bars, TICKER, **SMA)
@@ -63,7 +64,7 @@ def workloads(spark) -> dict:
         return trades_with_stops(found, TICKER, Rules(allow_short=True), rules)
 
     def projection():
-        market = D.market_returns(spark, SF_DIR).selectExpr("'market' AS ticker", "date", "bench_ret AS ret")
+        market = D.market_returns(spark, sf_dir).selectExpr("'market' AS ticker", "date", "bench_ret AS ret")
         return bootstrap.fan(bootstrap.simulate(market, TICKER, 1000, 252), "ticker")
 
     return {
@@ -93,9 +94,12 @@ def main() -> None:
         spark__sql__adaptive__coalescePartitions__minPartitionSize="64k",
     )
     spark.sparkContext.setLogLevel("ERROR")
-    jobs = workloads(spark)
+    jobs = workloads(spark, SF_DIR)
     wanted = sys.argv[1:] or list(jobs)
-    run(jobs["indicators"]())
+    small = os.path.join(os.path.dirname(SF_DIR.rstrip("/")), "sf0.01")
+    for name, job in workloads(spark, small if os.path.isdir(small) else SF_DIR).items():
+        if name in wanted:
+            run(job())
     times = {}
     for name in wanted:
         start = time.perf_counter()
