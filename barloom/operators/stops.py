@@ -9,10 +9,13 @@ sorts and feeds the groups; the function is the state machine only.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from types import SimpleNamespace
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ from barloom.functions.series import Series, drop_helpers
 from barloom.operators.indicators import with_atr
 from barloom.operators.ledger import TRADE, Rules, with_trade_signal
 
+# The fold travels to the executors whole, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class StopRules:
@@ -39,8 +45,8 @@ class StopRules:
 class Book:
     """One series: cash, shares, the live stop, and the trades not yet handed over."""
 
-    rules: Rules
-    stops: StopRules
+    rules: SimpleNamespace  # the fields of Rules and StopRules, and the `share` to invest
+    stops: SimpleNamespace
     cash: float = 0.0
     shares: float = 0.0
     stop: float | None = None
@@ -57,10 +63,7 @@ class Book:
         if r.method == "fixed_shares":
             qty = math.floor(cash / price) if r.shares * price > cash else r.shares
         else:
-            share = r.allocation
-            if r.method == "kelly":
-                share = kelly_fraction(r.win_rate, r.avg_win, r.avg_loss)
-            qty = math.floor(cash * share / price)
+            qty = math.floor(cash * r.share / price)
         return 1 if qty == 0 and price <= cash else qty
 
     def order(self, date, side: int, qty: float, raw: float, action: str) -> None:
@@ -152,9 +155,14 @@ def trades_with_stops(
         F.coalesce(atr, F.lit(0.0)).alias("atr"),
     )
     names = [f.split()[0] for f in TRADE.split(", ")]
+    kelly = kelly_fraction(rules.win_rate, rules.avg_win, rules.avg_loss)
+    share = kelly if rules.method == "kelly" else rules.allocation
+    plain_rules = SimpleNamespace(**asdict(rules), share=share)
+    plain_stops = SimpleNamespace(**asdict(stops))
+    capital = rules.initial_capital
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book = Book(rules, stops, cash=rules.initial_capital, prev_equity=rules.initial_capital)
+        book = Book(plain_rules, plain_stops, cash=capital, prev_equity=capital)
         for pdf in batches:
             columns = (pdf[c].tolist() for c in (order, "open", "close", "trade_signal", "atr"))
             for row in zip(*columns):

@@ -1,9 +1,12 @@
 import math
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
 import pytest
 from conftest import ordered, prices, walk
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from barloom import Series
@@ -222,3 +225,10 @@ def test_stop_fold_streams_batches(spark):
     finally:
         spark.conf.set(key, before)
     pd.testing.assert_frame_equal(whole, parts)
+
+
+def test_executors_need_no_package_for_the_fold(tmp_path):
+    path = tmp_path / "book"
+    path.write_bytes(cloudpickle.dumps(stops.Book))
+    check = "import pickle, sys; pickle.load(open(sys.argv[1], 'rb')); assert 'barloom' not in sys.modules"
+    subprocess.run([sys.executable, "-c", check, str(path)], cwd="/", check=True)
