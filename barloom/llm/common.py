@@ -18,6 +18,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `df` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Lower the session's rows per Arrow batch to BATCH_ROWS, if it is above, and return `df`."""
     conf = df.sparkSession.conf

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import batch, stored, texts
+from barloom.llm.common import batch, stored, texts, unused
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -224,9 +224,10 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     scanned = stored(scan(docs, id_col, text_col))
     patterns = sure_patterns(scanned, cue_counts(docs, text_col), **options)
-    more = discovered(scanned, patterns).select(F.col("doc_id").alias("_m_id"), F.col("text_hash").alias("_m_hash"), F.col("more").alias("_more"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_m_id")) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col("_m_hash"))
-    both = docs.join(more, same, "left").select(*(docs[c] for c in docs.columns), "_more")
+    own_id, own_hash, own_more = (unused(docs, c) for c in ("found_id", "found_hash", "found_more"))
+    more = discovered(scanned, patterns).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("more").alias(own_more))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col(own_hash))
+    both = docs.join(more, same, "left").select(*docs.columns, own_more)
     at = docs.columns.index(text_col)
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 

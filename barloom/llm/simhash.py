@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import batch, stored, texts
+from barloom.llm.common import batch, stored, texts, unused
 from barloom.llm.components import components
 
 SHINGLE = 4
@@ -231,8 +231,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
     # Rows per fingerprint first, so that many copies are combined before they meet.
     rows = fps.groupBy("fp", "doc_id", "text_hash").count().groupBy("fp").agg(F.min(place).alias("p"), F.min_by("count", place).alias("n"))
     first = rows.join(member, "fp").groupBy("root").agg(F.min("p").alias("p"), F.min_by("n", "p").alias("n"))
-    first = stored(first.select(F.col("p.doc_id").alias("_id"), F.col("p.text_hash").alias("_hash"), "n"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col("_hash"))
-    once = docs.join(first.where("n = 1"), same, "left_semi")
-    again = docs.join(first.where("n > 1"), same, "left_semi").dropDuplicates([id_col, text_col])
+    own_id, own_hash, own_n = (unused(docs, c) for c in ("kept_id", "kept_hash", "kept_n"))
+    first = stored(first.select(F.col("p.doc_id").alias(own_id), F.col("p.text_hash").alias(own_hash), F.col("n").alias(own_n)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col(own_hash))
+    once = docs.join(first.where(F.col(own_n) == 1), same, "left_semi")
+    again = docs.join(first.where(F.col(own_n) > 1), same, "left_semi").dropDuplicates([id_col, text_col])
     return once.unionByName(again)
