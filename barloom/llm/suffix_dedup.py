@@ -4,7 +4,8 @@ A window is WIDTH bytes. Each window has an anchor: of the grams of GRAM bytes i
 smallest hash, the leftmost of equals. Equal windows have equal anchors, so windows are dealt out by
 anchor, as segments of neighbouring windows that share one. Equal segments are settled by their hashes,
 before and after the shuffle: the earliest stays. Only anchors with several different segments remain,
-such as at the edges of a repeated passage. Their segments are sorted as suffixes in two stages: suffixes smaller
+such as at the edges of a repeated passage. Their segments, but for those whose neighbourhood of the anchor
+is nobody else's, are sorted as suffixes in two stages: suffixes smaller
 than their successors directly, the others induced by a scan over buckets; neighbours with a common
 prefix of WIDTH bytes are equal windows, and all but the earliest repeat.
 """
@@ -12,6 +13,7 @@ prefix of WIDTH bytes are equal windows, and all but the earliest repeat.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,14 @@ _GRAMS = WIDTH - GRAM + 1  # grams in a window
 CHUNK = 1 << 19
 FLUSH = 1 << 20
 # An anchor with more different segments than this is settled window by window, which is dealt out further.
-HOT = 2000
+HOT = 10_000
 # Bytes sorted as one suffix array.
 BLOCK = 1 << 20
 _B, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 20) - 1)
-_KEYS = "anchor long, seg long, id long, part int, start long, n int"
-_SCHEMA = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n", pa.int32())])
+_HALF = (WIDTH - GRAM) // 2
+_KEYS = "anchor long, seg long, id long, part int, start long, n int, at int"
+_SCHEMA = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
 _GONE = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n", pa.int32())])
 
 
@@ -56,8 +59,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mixed(join(join(h8, h8, 8, 8), h8, 16, 8))
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window and number of windows of each segment of a document."""
+def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first window, number of windows and the anchor's place from there of each segment of a document."""
     found = []
     array = np.frombuffer(data, np.uint8)
     for at in range(0, len(data) - WIDTH + 1, CHUNK):
@@ -70,19 +73,19 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = np.minimum(least[: len(h) - _GRAMS + 1], least[_GRAMS - span :])
         place = (least & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        found.append((h[place[first]], first + at, np.diff(np.append(first, len(place)))))
+        found.append((h[place[first]], first + at, np.diff(np.append(first, len(place))), place[first] - first))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _settled(anchor, seg, doc, part, start, n):
+def _settled(anchor, seg, doc, part, start, n, at):
     """Rows with all but the earliest of equal segments marked: n below 0, and dealt out by place instead of anchor."""
     order = np.lexsort((start, part, doc, seg, anchor))
-    anchor, seg, doc, part, start, n = (x[order] for x in (anchor, seg, doc, part, start, n))
+    anchor, seg, doc, part, start, n, at = (x[order] for x in (anchor, seg, doc, part, start, n, at))
     again = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (seg[1:] == seg[:-1])])
     elsewhere = _mixed(doc.view(np.uint64) * np.uint64(_B) + start.view(np.uint64)).view(np.int64)
-    return batch(_SCHEMA, np.where(again, elsewhere, anchor), np.where(again, 0, seg), doc, part, start, np.where(again, -n, n).astype(np.int32))
+    return batch(_SCHEMA, np.where(again, elsewhere, anchor), np.where(again, 0, seg), doc, part, start, np.where(again, -n, n).astype(np.int32), at.astype(np.int32))
 
 
 class _Buffer:
@@ -91,9 +94,9 @@ class _Buffer:
     def __init__(self):
         self.parts, self.rows = [], 0
 
-    def add(self, anchor, seg, doc, part, start, n):
+    def add(self, anchor, seg, doc, part, start, n, at):
         size = len(start)
-        self.parts.append((anchor, seg, np.full(size, doc, np.int64), np.full(size, part, np.int32), start, n))
+        self.parts.append((anchor, seg, np.full(size, doc, np.int64), np.full(size, part, np.int32), start, n, at))
         self.rows += size
 
     def out(self, least: int = 0):
@@ -109,9 +112,9 @@ def _anchored(rows: DataFrame) -> DataFrame:
         for b in batches:
             for doc, part, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 data = (text or "").encode()
-                anchor, start, n = segments(data)
+                anchor, start, n, at = segments(data)
                 seg = [digest(data[a:e]) for a, e in zip(start.tolist(), (start + n + WIDTH - 1).tolist(), strict=True)]
-                held.add(anchor.view(np.int64), np.array(seg, np.uint64).view(np.int64), doc, part, start, n)
+                held.add(anchor.view(np.int64), np.array(seg, np.uint64).view(np.int64), doc, part, start, n, at)
                 yield from held.out(FLUSH)
         yield from held.out()
 
@@ -136,7 +139,7 @@ def _sifted(rows: DataFrame) -> DataFrame:
                 continue
             anchor, seg = table[0], table[1]
             first = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])])
-            yield batch(_SCHEMA, *(c[~first] for c in table[:5]), -table[5][~first])
+            yield batch(_SCHEMA, *(c[~first] for c in table[:5]), -table[5][~first], table[6][~first])
             kept = [c[first] for c in table]
             same = kept[0][1:] == kept[0][:-1]
             several = np.concatenate([[multiple], same]) | np.concatenate([same, [False]])
@@ -223,8 +226,8 @@ def repeats(parts: list[bytes], rank: np.ndarray, width: int) -> list[np.ndarray
 
 
 def _cut(listed: DataFrame, rows: DataFrame, each, schema: str) -> DataFrame:
-    """`each` of every text with its list of segments (anchor, start, n)."""
-    per_doc = listed.groupBy("id", "part").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("found"))
+    """`each` of every text with its list of segments (anchor, start, n, at)."""
+    per_doc = listed.groupBy("id", "part").agg(F.collect_list(F.struct("anchor", "start", "n", "at")).alias("found"))
 
     def run(batches):
         for b in batches:
@@ -234,17 +237,25 @@ def _cut(listed: DataFrame, rows: DataFrame, each, schema: str) -> DataFrame:
     return rows.join(per_doc, ["id", "part"]).select("id", "part", "text", "found", "unnamed").mapInArrow(run, schema)
 
 
+def _may_repeat(rows: list[tuple]) -> list[tuple]:
+    """Segments that share the anchor and _HALF bytes before or behind it with another; a window holds one of these whole."""
+    sides = [[(r[0], r[5][r[4] - _HALF : r[4]]) if r[4] >= _HALF else None for r in rows],
+             [(r[0], r[5][r[4] + GRAM : r[4] + GRAM + _HALF]) if r[4] + GRAM + _HALF <= len(r[5]) else None for r in rows]]
+    counts = [Counter(s) for s in sides]
+    return [r for r, before, behind in zip(rows, *sides, strict=True) if before and counts[0][before] > 1 or behind and counts[1][behind] > 1]
+
+
 def _by_suffixes(listed: DataFrame, rows: DataFrame) -> DataFrame:
-    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("piece", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("at", pa.int32()), ("piece", pa.binary())])
 
     def cut(docs):
         out = []
         for doc, part, text, found in docs:
             data = text.encode()
-            out += [(f["anchor"], doc, part, f["start"], data[f["start"] : f["start"] + f["n"] + WIDTH - 1]) for f in found]
-        yield batch(schema, *([r[k] for r in out] for k in range(5)))
+            out += [(f["anchor"], doc, part, f["start"], f["at"], data[f["start"] : f["start"] + f["n"] + WIDTH - 1]) for f in found]
+        yield batch(schema, *([r[k] for r in out] for k in range(6)))
 
-    pieces = _cut(listed, rows, cut, "anchor long, id long, part int, start long, piece binary")
+    pieces = _cut(listed, rows, cut, "anchor long, id long, part int, start long, at int, piece binary")
     # Each anchor has at most HOT segments, each below twice WIDTH bytes: no group outgrows a block by much.
     dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "id", "part", "start")
 
@@ -252,11 +263,12 @@ def _by_suffixes(listed: DataFrame, rows: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def out(rows):
+            rows = _may_repeat(rows)
             place = np.array([(r[1], r[2], r[3]) for r in rows], np.int64).reshape(-1, 3)
             rank = np.empty(len(rows), np.int64)
             rank[np.lexsort(place.T[::-1])] = np.arange(len(rows))
             ids = []
-            for r, again in zip(rows, repeats([r[4] for r in rows], rank, WIDTH), strict=True):
+            for r, again in zip(rows, repeats([r[5] for r in rows], rank, WIDTH), strict=True):
                 cuts = np.flatnonzero(np.diff(again) != 1) + 1
                 ids += [(r[1], r[2], r[3] + int(g[0]), len(g)) for g in np.split(again, cuts) if len(g)]
             return batch(_GONE, *([r[k] for r in ids] for k in range(4)))
@@ -267,7 +279,7 @@ def _by_suffixes(listed: DataFrame, rows: DataFrame) -> DataFrame:
                     yield out(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield out(held)
 
@@ -285,7 +297,7 @@ def _by_windows(listed: DataFrame, rows: DataFrame) -> DataFrame:
                 start = np.arange(f["start"], f["start"] + f["n"])
                 whole = [xxhash.xxh3_128_intdigest(data[a : a + WIDTH]) for a in start.tolist()]
                 high, low = (np.array(x, np.uint64).view(np.int64) for x in ([w >> 64 for w in whole], [w & (1 << 64) - 1 for w in whole]))
-                held.add(high, low, doc, part, start, np.ones(len(start), np.int64))
+                held.add(high, low, doc, part, start, np.ones(len(start), np.int64), np.zeros(len(start), np.int64))
             yield from held.out(FLUSH)
         yield from held.out()
 

@@ -72,12 +72,12 @@ def test_small_flushes_blocks_and_chunks(shared, monkeypatch):
     rows, _ = shared
     texts = [t.encode() for _, t in rows if t]
     whole = [S.segments(t) for t in texts]
-    for t, (_, first, n) in zip(texts, whole, strict=True):
+    for t, (_, first, n, _) in zip(texts, whole, strict=True):
         windows = np.concatenate([np.arange(a, a + k) for a, k in zip(first, n, strict=True)] or [[]])
         assert windows.tolist() == list(range(max(0, len(t) - S.WIDTH + 1)))
     monkeypatch.setattr(S, "CHUNK", 37)
     for t in texts[:20]:
-        _, first, n = S.segments(t)
+        _, first, n, _ = S.segments(t)
         windows = np.concatenate([np.arange(a, a + k) for a, k in zip(first, n, strict=True)] or [[]])
         assert windows.tolist() == list(range(max(0, len(t) - S.WIDTH + 1)))
 
@@ -88,7 +88,7 @@ def test_equal_windows_have_equal_anchors():
     anchors = set()
     for _ in range(50):
         before = prose(rng, rng.randint(0, 40)).encode()
-        anchor, first, n = S.segments(before + window + prose(rng, 30).encode())
+        anchor, first, n, _ = S.segments(before + window + prose(rng, 30).encode())
         at = np.searchsorted(first, len(before), "right") - 1
         anchors.add(int(anchor[at]))
     assert len(anchors) == 1
