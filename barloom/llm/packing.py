@@ -8,11 +8,16 @@ is bounded, nothing is shuffled, and a lost task packs the same documents the sa
 
 from __future__ import annotations
 
+import base64
+from functools import lru_cache
+
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 
-from barloom.llm.bpe import codec, vocabulary
+from barloom.llm.bpe import vocabulary
 from barloom.llm.common import batch, texts
 
 ROW = 2048
@@ -21,6 +26,13 @@ WINDOW = 4_000_000
 PAD = 50256  # free in the vocabulary
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> tiktoken.Encoding:
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Room:
     """Open rows by the room left in them: a segment tree over 0 ... size that tells where rows are."""
 
@@ -105,8 +117,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = ROW, window: int
     path = path or vocabulary()
 
     def run(batches):
-        c = codec(path)
-        kind = np.dtype("<u2" if max(max(c.bytes_of, default=0), pad, size) < 1 << 16 else "<u4")
+        c = encoder(path)
+        kind = np.dtype("<u2" if max(c.max_token_value, pad, size) < 1 << 16 else "<u4")
         held: list[tuple[int | None, np.ndarray]] = []
         tokens = 0
 
@@ -118,7 +130,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = ROW, window: int
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array(c.encode(text or ""), kind)
+                ids = c.encode_to_numpy(text or "", disallowed_special=()).astype(kind)
                 held.append((i, ids))
                 tokens += len(ids)
                 if tokens >= window:
