@@ -16,10 +16,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# Beyond this length a rolling mean is the difference of two running sums: constant work per
-# row, where Spark re-adds every row of a sliding frame.
-PREFIX_SUM_FROM = 32
-
 # e^-40 is below double rounding, so one carry from the previous block is all a decayed
 # average needs.
 DECAY_NEGLIGIBLE = 40.0
@@ -80,13 +76,8 @@ class Series:
         return seen == n
 
     def mean(self, c, n: int) -> Column:
-        if n <= PREFIX_SUM_FROM:
-            value = F.avg(col(c)).over(self.last_n(n))
-        else:
-            total = F.sum(col(c)).over(self.upto)
-            older = F.coalesce(F.sum(col(c)).over(self.before(n)), F.lit(0.0))
-            value = (total - older) / n
-        return F.when(self._full(c, n), value)
+        """Every frame is added up anew, so a NaN or a rounding error leaves with its row."""
+        return F.when(self._full(c, n), F.avg(col(c)).over(self.last_n(n)))
 
     def std(self, c, n: int) -> Column:
         return F.when(self._full(c, n), F.stddev_samp(col(c)).over(self.last_n(n)))
@@ -120,9 +111,10 @@ class Series:
     def ffill(self, c) -> Column:
         return F.last(col(c), ignorenulls=True).over(self.upto)
 
-    def bfill(self, c) -> Column:
+    def first_known(self, c) -> Column:
+        """The first value of the whole series that is not NULL, worked out once per series."""
         return F.first(col(c), ignorenulls=True).over(
-            self.w.rowsBetween(0, Window.unboundedFollowing)
+            self.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         )
 
 
@@ -149,15 +141,29 @@ class Ewm:
         return 1 if self.alpha >= 1 else math.ceil(DECAY_NEGLIGIBLE / -math.log1p(-self.alpha))
 
 
-def ewm_block(specs: list[Ewm]) -> int:
+def ewm_block(specs: list[Ewm]) -> int | None:
+    """Rows of a block that serve all these rates; None if they are too far apart to share one.
+
+    A block holds the memory of the slowest, and the weights of the steepest must stay in the range
+    of a double over it. One rate alone always has a block.
+    """
     need = max(s.memory for s in specs)
-    block = max(need, DEFAULT_EWM_BLOCK)
     steepest = max((-math.log10(1 - s.alpha) for s in specs if s.alpha < 1), default=0.0)
-    if block * steepest > MAX_WEIGHT_LOG10:
-        block = need
-    if block * steepest > MAX_WEIGHT_LOG10:
-        raise ValueError("these decay rates are too far apart for one pass; add them in two calls")
-    return block
+    for block in (max(need, DEFAULT_EWM_BLOCK), need):
+        if block * steepest <= MAX_WEIGHT_LOG10:
+            return block
+    return None
+
+
+def ewm_groups(specs: dict[str, Ewm]) -> list[dict[str, Ewm]]:
+    """The averages in as few groups as their rates allow, each of which shares a block."""
+    groups: list[dict[str, Ewm]] = []
+    for name, spec in sorted(specs.items(), key=lambda s: s[1].memory):
+        if groups and ewm_block([*groups[-1].values(), spec]) is not None:
+            groups[-1][name] = spec
+        else:
+            groups.append({name: spec})
+    return groups
 
 
 def with_position(df: DataFrame, series: Series) -> DataFrame:
@@ -167,12 +173,20 @@ def with_position(df: DataFrame, series: Series) -> DataFrame:
 def with_ewm(df: DataFrame, series: Series, **specs: Ewm) -> DataFrame:
     """Add one exponential average per keyword, without leaving the JVM.
 
+    A NULL input adds nothing, so the average decays towards zero over it; fill gaps before.
+
     The recurrence is unrolled inside blocks of rows (a running sum of x * q^-k, scaled by q^k,
     with k the place in the block) and the last value of the previous block is carried in.
     Blocks are long enough that the carry before that one is below rounding.
     """
-    block = ewm_block(list(specs.values()))
     df = with_position(df, series)
+    for group in ewm_groups(specs):
+        df = _with_ewm_group(df, series, group)
+    return df
+
+
+def _with_ewm_group(df: DataFrame, series: Series, specs: dict[str, Ewm]) -> DataFrame:
+    block = ewm_block(list(specs.values()))
     blk, place = f"_blk{block}", F.col("_pos") % block
     if blk not in df.columns:
         df = df.withColumn(blk, F.floor(F.col("_pos") / block))

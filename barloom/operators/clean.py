@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from barloom.functions.series import Series
 
+# The columns of a bar that must be there, and those that are filled.
 EXPECTED = ("date", "open", "high", "low", "close", "volume")
-FILLED = ("open", "high", "low", "close", "volume")
+FILLED = EXPECTED[1:]
 MIN_ROWS = 30
 ZERO_VOLUME_SHARE = 0.1
 
@@ -20,7 +21,7 @@ def missing_columns(bars: DataFrame) -> list[str]:
 def fill_gaps(bars: DataFrame, series: Series) -> DataFrame:
     """Carry the last value forward, then the first one back. `adj_close` stays as it is."""
     present = [c for c in FILLED if c in bars.columns]
-    return bars.withColumns({c: F.coalesce(series.ffill(c), series.bfill(c)) for c in present})
+    return bars.withColumns({c: F.coalesce(series.ffill(c), series.first_known(c)) for c in present})
 
 
 def fix_high_low(bars: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from barloom.functions.series import Series, drop_helpers, with_position
 from barloom.operators.indicators import with_bands, with_macd, with_mean, with_rsi
 
-# Prices and averages closer than this are equal: the order of summation decides the last digits.
-TIE = 1e-9
+# Averages closer than this share of the price are equal: the order of summation decides the last digits.
+TIE = 1e-12
 
 
 def _signal(buy: Column, sell: Column) -> Column:
@@ -35,7 +35,8 @@ def sma_crossover(df: DataFrame, series: Series, short_window=50, long_window=20
     df = with_mean(df, series, short_window, "short_ma")
     df = with_mean(df, series, long_window, "long_ma")
     lead = F.col("short_ma") - F.col("long_ma")
-    return df.withColumn("signal", _signal(lead > TIE, lead <= TIE))
+    tie = F.abs("long_ma") * TIE
+    return df.withColumn("signal", _signal(lead > tie, lead <= tie))
 
 
 def rsi_reversion(df: DataFrame, series: Series, window=14, overbought=70, oversold=30) -> DataFrame:
@@ -53,8 +54,8 @@ def bollinger(df: DataFrame, series: Series, window=20, num_std=2.0) -> DataFram
 
 def macd_cross(df: DataFrame, series: Series, fast=12, slow=26, signal=9) -> DataFrame:
     df = with_macd(df, series, fast, slow, signal)
-    lead = F.col("macd_histogram")
-    return df.withColumn("signal", _signal(lead > TIE, lead < -TIE))
+    lead, tie = F.col("macd_histogram"), F.abs("close") * TIE
+    return df.withColumn("signal", _signal(lead > tie, lead < -tie))
 
 
 def multi_factor(
@@ -78,15 +79,15 @@ def multi_factor(
     df = with_rsi(df, series, rsi_window, out="mf_rsi")
     df = with_macd(df, series, macd_fast, macd_slow, macd_signal)
     df = df.withColumn("_rise", series.diff("macd_histogram"))
-    close = F.col("close")
+    close, tie = F.col("close"), F.abs("close") * TIE
     score = (
         _points(F.col("mf_rsi") < 35, 2)
         - _points(F.col("mf_rsi") > 65, 2)
         + _points(close < F.col("mf_lower_band"), 2)
         - _points(close > F.col("mf_upper_band"), 2)
         + _points(F.col("volume") > F.col("mf_avg_volume") * vol_multiplier, 1)
-        + _points(F.col("_rise") > TIE, 1)
-        - _points(F.col("_rise") < -TIE, 1)
+        + _points(F.col("_rise") > tie, 1)
+        - _points(F.col("_rise") < -tie, 1)
         + _points(close > F.col("mf_trend_ma"), 1)
         - _points(close < F.col("mf_trend_ma"), 1)
     )

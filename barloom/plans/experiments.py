@@ -76,9 +76,10 @@ def sma_grid_signals(bars: DataFrame, series: Series, sets: list[dict]) -> DataF
         )
     )
     df = df.select("*", F.inline(runs))
-    lead = F.col("_ma")[F.col("_short")] - F.col("_ma")[F.col("_long")]
+    long_ma = F.col("_ma")[F.col("_long")]
+    lead = F.col("_ma")[F.col("_short")] - long_ma
     # NaN marks the warm-up inside the array; it never reaches a result.
-    signal = F.when(F.isnan(lead), 0).when(lead > TIE, 1).otherwise(-1)
+    signal = F.when(F.isnan(lead), 0).when(lead > F.abs(long_ma) * TIE, 1).otherwise(-1)
     return df.select(
         "run_id", *series.keys, series.order, "open", "close", signal.alias("signal")
     )
@@ -147,8 +148,10 @@ def best_run(results: DataFrame, series: Series, params: list[str]) -> DataFrame
     return defined.groupBy(*series.keys).agg(best.alias("b")).select(*series.keys, "b.*")
 
 
-def top_runs(results: DataFrame, n: int = TOP_RESULTS) -> DataFrame:
-    return results.orderBy(F.desc_nulls_last("value"), "run_id").limit(n)
+def top_runs(results: DataFrame, series: Series, n: int = TOP_RESULTS) -> DataFrame:
+    """The `n` best runs of each series, the earlier run on ties; undefined values come last."""
+    place = F.row_number().over(Window.partitionBy(*series.keys).orderBy(F.desc_nulls_last("value"), "run_id"))
+    return results.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def heatmap(results: DataFrame, series: Series, rows: str, columns: str, values: list) -> DataFrame:

@@ -126,9 +126,9 @@ def benchmark_equity(bars: DataFrame, series: Series, initial: float = 10_000.0)
 
 
 def one_per_date(benchmark: DataFrame, order: str = "date") -> DataFrame:
-    """A benchmark ready to join: at most one row per date. On DATE bars the calendar then bounds
+    """A benchmark ready to join: one row per date, the mean where a date repeats. On DATE bars the calendar then bounds
     it (366 rows a year), so it is broadcast; finer benchmarks are left to Spark's size check."""
-    unique = benchmark.dropDuplicates([order])
+    unique = benchmark.groupBy(order).agg(*(F.avg(c).alias(c) for c in benchmark.columns if c != order))
     daily = benchmark.schema[order].dataType.simpleString() == "date"
     return F.broadcast(unique) if daily else unique
 

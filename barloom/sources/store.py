@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +33,10 @@ STORED = T.StructType(
 
 def prepare(bars: DataFrame, interval: str = "1d") -> DataFrame:
     """Bars in the stored shape; tickers in capitals, `adj_close` from `close` where absent.
-    `seq` is the order of arrival, which decides between rows of one date."""
+    `seq` is the order of arrival, which decides between rows of one date; without it the rows of
+    one date count by their values, the same on every run."""
     adj = "coalesce(adj_close, close)" if "adj_close" in bars.columns else "close"
-    seq = F.col("seq") if "seq" in bars.columns else F.monotonically_increasing_id()
+    seq = F.col("seq") if "seq" in bars.columns else F.lit(0).cast("bigint")
     return bars.select(
         F.col("date").cast("timestamp_ntz").alias("date"),
         *(
@@ -50,13 +51,13 @@ def prepare(bars: DataFrame, interval: str = "1d") -> DataFrame:
 
 def first_per_date(rows: DataFrame) -> DataFrame:
     """Earliest arrival of each key: an aggregate, so duplicates shrink before the shuffle."""
-    kept = F.min_by(F.struct(*VALUES), F.col("seq"))
+    kept = F.min_by(F.struct(*VALUES), F.struct("seq", *VALUES))
     return rows.groupBy(*KEYS).agg(kept.alias("v")).select(*KEYS, "v.*")
 
 
 def last_per_date(rows: DataFrame, *order: str) -> DataFrame:
     """Latest arrival of each key."""
-    kept = F.max_by(F.struct(*VALUES), F.struct(*(order or ("seq",))))
+    kept = F.max_by(F.struct(*VALUES), F.struct(*(order or ("seq",)), *VALUES))
     return rows.groupBy(*KEYS).agg(kept.alias("v")).select(*KEYS, "v.*")
 
 
@@ -196,21 +197,33 @@ class BarStore:
         return clean(asked.dropDuplicates(list(KEYS)), series, min_rows)
 
 
+def bars_inside(stored: DataFrame, requests: DataFrame) -> DataFrame:
+    """ticker, start, end, hits: stored bars inside each request, without pairing bars with requests.
+
+    The ends of the requests are sorted among the bars of their ticker; the running count of bars at the
+    end less that before the start is the answer.
+    """
+    at = [F.col(c).cast("timestamp_ntz") for c in ("start", "end")]
+    asked = requests.select("ticker", "start", "end").distinct()
+    ends = asked.select("ticker", "start", "end", F.inline(F.array(
+        F.struct(at[0].alias("at"), F.lit(0).alias("edge"), F.lit(-1).alias("sign")),
+        F.struct(at[1].alias("at"), F.lit(2).alias("edge"), F.lit(1).alias("sign")))))
+    bars = stored.select("ticker", F.col("date").cast("timestamp_ntz").alias("at"), F.lit(1).alias("edge"))
+    both = ends.unionByName(bars, allowMissingColumns=True)
+    sofar = Window.partitionBy("ticker").orderBy("at", "edge").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("_n", F.count(F.when(F.col("edge") == 1, 1)).over(sofar)).where("sign IS NOT NULL")
+    return counted.groupBy("ticker", "start", "end").agg(F.sum(F.col("sign") * F.col("_n")).alias("hits"))
+
+
 def missing_ranges(stored: DataFrame, requests: DataFrame) -> DataFrame:
     """Ranges to fetch per request (ticker, start, end): before the first and after the last
-    stored bar, or the whole request where nothing is stored.
+    stored bar, or the whole request where nothing is stored or nothing stored falls inside.
 
     A request counts as served when its end is at most three days past the last bar and more
     than ten bars fall inside it. Holes between the first and last bar are not looked for.
     """
     have = date_range(stored, "ticker")
-    inside = (
-        stored.select("ticker", "date")
-        .join(requests, "ticker")
-        .where(F.col("date").between(F.col("start"), F.col("end")))
-        .groupBy("ticker", "start", "end")
-        .agg(F.count("*").alias("hits"))
-    )
+    inside = bars_inside(stored, requests)
     df = requests.join(have, "ticker", "left").join(inside, ["ticker", "start", "end"], "left")
     df = df.withColumns(
         {c: F.col(c).cast("date") for c in ("start", "end", "first_date", "last_date")}
@@ -229,7 +242,8 @@ def missing_ranges(stored: DataFrame, requests: DataFrame) -> DataFrame:
         F.col("start") < F.col("first_date"), span(F.col("start"), F.date_sub("first_date", 1))
     )
     tail = F.when(F.col("end") > F.col("last_date"), span(F.date_add("last_date", 1), F.col("end")))
-    ranges = F.when(absent, F.array(span(F.col("start"), F.col("end")))).when(
+    outside = absent | (F.coalesce("hits", F.lit(0)) == 0)
+    ranges = F.when(outside, F.array(span(F.col("start"), F.col("end")))).when(
         ~served, F.filter(F.array(head, tail), lambda x: x.isNotNull())
     )
     return df.select("ticker", absent.alias("whole_request"), F.explode(ranges).alias("r")).select(

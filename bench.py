@@ -11,13 +11,13 @@ import json
 import os
 import shutil
 import sys
-import tempfile
 import time
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barloom import build_session
-from barloom.operators import indicators, ledger, metrics, signals
+from barloom.operators import clean, indicators, ledger, metrics, signals
 from barloom.operators.ledger import Rules
 from barloom.operators.signals import STRATEGIES
 from barloom.operators.stops import StopRules, trades_with_stops
@@ -67,8 +67,13 @@ def workloads(spark, sf_dir: str) -> dict:
         market = D.market_returns(spark, sf_dir).selectExpr("'market' AS ticker", "date", "bench_ret AS ret")
         return bootstrap.fan(bootstrap.simulate(market, TICKER, 1000, 252), "ticker")
 
+    def cleaned():
+        damaged = bars.withColumn("close", F.when(F.dayofmonth("date") % 7 == 0, None).otherwise(F.col("close")))
+        return clean.clean(damaged, TICKER)
+
     return {
         "bars": lambda: bars,
+        "clean": cleaned,
         "indicators": all_indicators,
         "multi_factor": lambda: signals.multi_factor(bars, TICKER),
         "ledger": lambda: ledger.trades(sma.signals(bars, TICKER, **SMA), TICKER),
@@ -107,8 +112,8 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
 
     if "scan" in wanted or not sys.argv[1:]:
-        # A store of the bars, scanned for a year: directories and row groups are pruned.
-        path = tempfile.mkdtemp(prefix="bench-bars-")
+        # A year of a table of bars sorted by date: row groups are pruned.
+        path = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), f"bench-bars-{os.getpid()}")
         D.walk_bars(spark, SF_DIR).sort("date").write.mode("overwrite").parquet(path)
         start = time.perf_counter()
         run(spark.read.parquet(path).where("date BETWEEN '1996-01-01' AND '1996-12-31'").select("ticker", "date", "close"))

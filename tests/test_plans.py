@@ -48,7 +48,9 @@ def test_best_run(spark):
     df = spark.createDataFrame(rows, "ticker string, run_id int, value double").withColumn("p", F.col("run_id") * 10)
     row = experiments.best_run(df, S, ["p"]).first()
     assert (row.run_id, row.p, row.value) == (1, 10, 2.0)
-    assert [r.run_id for r in experiments.top_runs(df.where("run_id < 3"), 2).collect()] == [1, 2]
+    assert [r.run_id for r in experiments.top_runs(df.where("run_id < 3"), S, 2).orderBy("run_id").collect()] == [1, 2]
+    both = df.where("run_id < 3").unionByName(df.where("run_id < 3").withColumn("ticker", F.lit("other")))
+    assert experiments.top_runs(both, S, 2).groupBy("ticker").count().collect() and experiments.top_runs(both, S, 2).count() == 4
 
 
 def test_heatmap(spark):

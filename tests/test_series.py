@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import ordered
+from conftest import ordered, prices
 from pyspark.sql import functions as F
 
 from barloom import Series
@@ -33,9 +33,23 @@ def test_ewm_warm_up_and_leading_nulls(bars, bars_pdf):
     np.testing.assert_allclose(got["late"], x, rtol=1e-12)
 
 
-def test_ewm_rejects_rates_too_far_apart():
-    with pytest.raises(ValueError):
-        ewm_block([Ewm("x", 0.001), Ewm("x", 0.99)])
+def test_rates_far_apart_get_blocks_of_their_own(bars, bars_pdf):
+    assert ewm_block([Ewm("x", 0.001), Ewm("x", 0.99)]) is None
+    spans = [2, 3, 5, 8, 50, 60, 100, 150, 900]
+    got = ordered(with_ewm(bars, S, **{f"e{n}": Ewm.span("close", n) for n in spans}))
+    for n in spans:
+        want = by_ticker(bars_pdf, lambda g, n=n: g["close"].ewm(span=n, adjust=False).mean())
+        np.testing.assert_allclose(got[f"e{n}"], want, rtol=1e-11)
+
+
+def test_a_nan_leaves_with_its_row(spark):
+    close = np.linspace(10, 20, 400)
+    close[5] = np.nan
+    for n in (20, 50, 200):
+        got = ordered(prices(spark, close).withColumn("m", S.mean("close", n)))["m"]
+        want = pd.Series(np.where(np.isnan(close), 1e9, close)).rolling(n).mean()
+        assert got[5 + n :].notna().all()
+        np.testing.assert_allclose(got[5 + n :], want[5 + n :], rtol=1e-12)
 
 
 @pytest.mark.parametrize("n", [3, 20, 33, 200])

@@ -126,3 +126,10 @@ def test_custom_strategy(bars):
     fresh = signals.Strategy(lambda df, s, at=1: df.withColumn("signal", F.lit(at)), "Always {at}", {"at": 1})
     assert fresh.name(at=0) == "Always 0"
     assert fresh.signals(bars, S, at=-1).where("signal = -1").count() == bars.count()
+
+
+def test_crossover_on_very_high_flat_and_very_low_rising_prices(spark):
+    flat = ordered(signals.sma_crossover(prices(spark, [500000.1] * 300), S, 50, 200))["signal"]
+    assert set(flat[199:]) == {-1}
+    rising = ordered(signals.sma_crossover(prices(spark, 1e-9 * (1 + np.arange(150) / 100)), S, 10, 50))["signal"]
+    assert set(rising[49:]) == {1}

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import numpy as np
 import pandas as pd
@@ -174,3 +175,22 @@ def test_ingest_fills_gaps_once(spark, tmp_path):
     store.ingest(source, asked)
     assert store.read().count() == 100
     assert [r.ticker for r in failed_tickers(asked, store.read()).collect()] == ["C"]
+
+
+def test_gaps_of_requests_inside_a_hole_and_several_per_ticker(spark):
+    dates = [f"2020-01-{d:02d}" for d in range(1, 21)] + [f"2020-06-{d:02d}" for d in range(1, 21)]
+    bars = spark.createDataFrame([("A", d) for d in dates], "ticker string, date string").withColumn("date", F.to_date("date"))
+    asked = [("A", "2020-03-01", "2020-03-10"), ("A", "2020-01-02", "2020-01-18"), ("A", "2019-12-01", "2020-01-05"), ("A", "2020-06-15", "2020-07-30"), ("B", "2020-01-01", "2020-01-02")]
+    requests = spark.createDataFrame(asked, "ticker string, start string, end string").selectExpr("ticker", "CAST(start AS date) AS start", "CAST(end AS date) AS end")
+    got = sorted((r.ticker, str(r.gap_start), str(r.gap_end), r.whole_request) for r in missing_ranges(bars, requests).collect())
+    assert got == [
+        ("A", "2019-12-01", "2019-12-31", False), ("A", "2020-03-01", "2020-03-10", False), ("A", "2020-06-21", "2020-07-30", False), ("B", "2020-01-01", "2020-01-02", True)]
+
+
+def test_filling_long_series_takes_linear_time(spark):
+    bars = spark.range(100_000).selectExpr(
+        "'A' AS ticker", "CAST(id AS int) AS date", "IF(id < 10 OR id % 7 = 0, NULL, CAST(id AS double)) AS close", "1.0D AS open", "1.0D AS high", "1.0D AS low", "1.0D AS volume")
+    began = time.perf_counter()
+    got = clean.fill_gaps(bars, Series("ticker")).orderBy("date").select("close").limit(20).collect()
+    assert [r.close for r in got[:15]] == [10.0] * 11 + [11.0, 12.0, 13.0, 13.0]
+    assert time.perf_counter() - began < 60

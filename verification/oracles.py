@@ -90,7 +90,8 @@ ORACLES["bars_tickers"] = "SELECT DISTINCT l_suppkey AS ticker FROM lineitem"
 
 REQUESTS = """requests AS (
   SELECT c_custkey::varchar AS ticker, CAST(DATE '1994-06-01' + (c_custkey % 5 * 200)::int AS DATE) AS s,
-         CAST(DATE '1998-01-01' + (c_custkey % 7 * 500)::int AS DATE) AS e FROM customer)"""
+         CAST(DATE '1998-01-01' + (c_custkey % 7 * 500)::int AS DATE) AS e FROM customer
+  UNION ALL SELECT c_custkey::varchar, DATE '1996-03-01', CAST(DATE '1996-03-01' + (c_custkey % 3)::int AS DATE) FROM customer)"""
 DAYS = """days AS (SELECT DISTINCT l_suppkey::varchar AS ticker, CAST(l_shipdate AS DATE) AS date FROM lineitem)"""
 ORACLES["bars_gaps"] = sql(
     REQUESTS,
@@ -101,8 +102,9 @@ state AS (
   FROM requests q LEFT JOIN cover USING (ticker)),
 todo AS (SELECT *, a <= s AND b >= e - 3 AND hits > 10 AS served FROM state)""",
     select="""SELECT ticker, s AS gap_start, e AS gap_end, true AS whole_request FROM todo WHERE a IS NULL
-UNION ALL SELECT ticker, s, CAST(a - 1 AS DATE), false FROM todo WHERE NOT served AND s < a
-UNION ALL SELECT ticker, CAST(b + 1 AS DATE), e, false FROM todo WHERE NOT served AND e > b""",
+UNION ALL SELECT ticker, s, e, false FROM todo WHERE a IS NOT NULL AND hits = 0
+UNION ALL SELECT ticker, s, CAST(a - 1 AS DATE), false FROM todo WHERE NOT served AND hits > 0 AND s < a
+UNION ALL SELECT ticker, CAST(b + 1 AS DATE), e, false FROM todo WHERE NOT served AND hits > 0 AND e > b""",
 )
 ORACLES["ingest_failed_tickers"] = """
 SELECT c_custkey::varchar AS ticker FROM customer
@@ -280,7 +282,7 @@ def sma_cte(short: int, long: int, source: str = "bars", name: str = "sig", keys
         return f"CASE WHEN count(*) OVER {frame} = {n} THEN avg(close) OVER {frame} END"
 
     return f"""{name} AS MATERIALIZED (
-  SELECT *, CASE WHEN short_ma - long_ma > 1e-9::double THEN 1 WHEN short_ma - long_ma <= 1e-9::double THEN -1 ELSE 0 END AS signal
+  SELECT *, CASE WHEN short_ma - long_ma > 1e-12::double * abs(long_ma) THEN 1 WHEN short_ma - long_ma <= 1e-12::double * abs(long_ma) THEN -1 ELSE 0 END AS signal
   FROM (SELECT *, {ma(short)} AS short_ma, {ma(long)} AS long_ma FROM {source}))"""
 
 
@@ -292,7 +294,7 @@ SIGNALS = {
     "rsi": (IND, "SELECT *, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN -1 ELSE 0 END AS signal FROM ind"),
     "macd": (
         IND,
-        "SELECT *, CASE WHEN macd_histogram > 1e-9 THEN 1 WHEN macd_histogram < -1e-9 THEN -1 ELSE 0 END AS signal FROM ind",
+        "SELECT *, CASE WHEN macd_histogram > 1e-12::double * abs(close) THEN 1 WHEN macd_histogram < -1e-12::double * abs(close) THEN -1 ELSE 0 END AS signal FROM ind",
     ),
     "bollinger": (
         (MOVES, BARS, BB),
@@ -305,7 +307,7 @@ scored AS (SELECT *,
   CASE WHEN rsi < 35 THEN 2 WHEN rsi > 65 THEN -2 ELSE 0 END
   + CASE WHEN close < sma - 2 * sd THEN 2 WHEN close > sma + 2 * sd THEN -2 ELSE 0 END
   + CASE WHEN volume > av * 1.5::double THEN 1 ELSE 0 END
-  + CASE WHEN rise > 1e-9 THEN 1 WHEN rise < -1e-9 THEN -1 ELSE 0 END
+  + CASE WHEN rise > 1e-12::double * abs(close) THEN 1 WHEN rise < -1e-12::double * abs(close) THEN -1 ELSE 0 END
   + CASE WHEN close > ma200 THEN 1 WHEN close < ma200 THEN -1 ELSE 0 END AS mf_score FROM factors)"""
 SIGNALS["multi_factor"] = (
     (*IND, MULTI),
@@ -567,7 +569,7 @@ QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY value DESC, run_id) = 1"
 )
 ORACLES["grid_top"] = sql(
     *GRID_CTES,
-    select=f"SELECT ticker, run_id, {rs('value', 6)} FROM (SELECT * FROM runs ORDER BY value DESC, run_id LIMIT 100)",
+    select=f"SELECT ticker, run_id, {rs('value', 6)} FROM runs QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY value DESC NULLS LAST, run_id) <= 100",
 )
 _cells = ", ".join(
     f"{r(f'max(value) FILTER (long_window = {v})', 6)} AS long_{v}" for v in GRID["long_window"]
@@ -627,7 +629,7 @@ ORACLES["compare_strategies"] = sql(
     *compared(ALL), select=f"SELECT strategy, ticker, {PERF_COLS}, composite FROM ranked"
 )
 ORACLES["strategy_ranking"] = sql(
-    *compared(["Bollinger Bands", "Buy & Hold", "SMA Crossover"]),
+    *compared(ALL),
     select=f"""SELECT ticker, strategy, composite, {r('cagr * 100', 2)} AS cagr_pct, {r('sharpe_ratio', 3)} AS sharpe,
   {r('sortino_ratio', 3)} AS sortino, {r('max_drawdown * 100', 2)} AS max_dd_pct, {r('win_rate * 100', 1)} AS win_rate_pct,
   total_trades, {r('volatility * 100', 2)} AS volatility_pct,
@@ -684,7 +686,7 @@ spans AS (SELECT *, day - 1 - hs % greatest(1, {HORIZON} - length) AS k FROM pla
 hit AS (SELECT ticker, sim, day, stressed, CASE WHEN stressed AND k >= 0 AND k < length THEN path[(k + 1)::int] ELSE ret END AS ret FROM spans)"""
 ORACLES["stress_injection"] = sql(
     MOVES, SLOTS, DRAWN, STRESSED, grown(source="hit"),
-    select=f"SELECT ticker, sim, day, stressed, {rs('value', 6)} FROM paths",
+    select=f"SELECT ticker, day, count(*) FILTER (stressed) AS stressed_sims, {r('avg(value)', 6)} AS mean_value FROM paths GROUP BY 1, 2",
 )
 _rows = ", ".join(
     f"('{t}', '{d}', {n}::bigint, {i}, {x}::double)"

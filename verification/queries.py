@@ -25,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 GRID = {"short_window": [5, 10, 20], "long_window": [20, 50]}
 SHORT_SMA = {"short_window": 5, "long_window": 20}
 FAST_MOMENTUM = {"momentum_window": 60, "trend_ma": 50, "entry_rsi": 45}
-SIMS, HORIZON, SEED = 30, 20, 7
+SIMS, HORIZON, SEED = 1000, 252, 7
 
 
 def query(fn: Callable) -> Callable:
@@ -95,12 +95,15 @@ def bars_tickers(spark, d):
 
 
 def _requests(spark, d) -> DataFrame:
+    """Two per customer: some years, and one to three days that often fall between bars."""
     key = F.col("c_custkey")
-    return D.table(spark, d, "customer").select(
-        key.cast("string").alias("ticker"),
-        F.date_add(F.to_date(F.lit("1994-06-01")), (key % 5 * 200).cast("int")).alias("start"),
-        F.date_add(F.to_date(F.lit("1998-01-01")), (key % 7 * 500).cast("int")).alias("end"),
+    days = F.to_date(F.lit("1996-03-01"))
+    spans = F.array(
+        F.struct(F.date_add(F.to_date(F.lit("1994-06-01")), (key % 5 * 200).cast("int")).alias("start"),
+                 F.date_add(F.to_date(F.lit("1998-01-01")), (key % 7 * 500).cast("int")).alias("end")),
+        F.struct(days.alias("start"), F.date_add(days, (key % 3).cast("int")).alias("end")),
     )
+    return D.table(spark, d, "customer").select(key.cast("string").alias("ticker"), F.inline(spans))
 
 
 @query
@@ -537,7 +540,7 @@ def grid_best(spark, d):
 
 @query
 def grid_top(spark, d):
-    df = experiments.top_runs(_grid(spark, d).select("ticker", "run_id", "value"))
+    df = experiments.top_runs(_grid(spark, d).select("ticker", "run_id", "value"), TICKER)
     return rounded(_runs(df), value=6)
 
 
@@ -606,9 +609,9 @@ def bootstrap_parametric(spark, d):
 
 @query
 def stress_injection(spark, d):
-    df = _paths(spark, d, stress_probability=0.4).select("ticker", "sim", "day", "stressed", "value")
-    df = df.withColumns({c: F.col(c).cast("bigint") for c in ("sim", "day")})
-    return rounded(df, value=6)
+    """Stressed simulations and the mean of all paths, per day."""
+    df = _paths(spark, d, stress_probability=0.4).groupBy("ticker", F.col("day").cast("bigint").alias("day"))
+    return rounded(df.agg(F.count_if("stressed").alias("stressed_sims"), F.avg("value").alias("mean_value")), mean_value=6)
 
 
 @query
@@ -659,8 +662,8 @@ def daily_returns(spark, d):
 @query
 def strategy_ranking(spark, d):
     found = experiments.compare_strategies(
-        D.walk_bars(spark, d), TICKER, names=("Bollinger Bands", "Buy & Hold", "SMA Crossover"),
-        **{"SMA Crossover": SHORT_SMA},
+        D.walk_bars(spark, d), TICKER,
+        **{"SMA Crossover": SHORT_SMA, "Momentum + MR": FAST_MOMENTUM, "Multi-Factor": {"min_score": 3}},
     )
     df = views.ranked_strategies(found["results"], "ticker")
     return df.withColumn("total_trades", F.col("total_trades").cast("bigint"))
