@@ -647,8 +647,9 @@ def u(*parts: str) -> str:
     return f"(({h(*parts)} + 0.5::double) / {16 ** 12}.0::double)"
 
 
-SLOTS = f"""known AS MATERIALIZED (SELECT ticker, row_number() OVER ({W}) - 1 AS pick, move FROM moves),
-stats AS (SELECT ticker, count(*) AS n, avg(move) AS mu, stddev_pop(move) AS sigma FROM moves GROUP BY 1),
+SLOTS = f"""sectors AS MATERIALIZED (SELECT ticker % 4 AS ticker, date, sum(round(move * 1e12::double)::bigint)::double / count(*) / 1e12::double AS move FROM moves GROUP BY 1, 2),
+known AS MATERIALIZED (SELECT ticker, row_number() OVER ({W}) - 1 AS pick, move FROM sectors),
+stats AS (SELECT ticker, count(*) AS n, avg(move) AS mu, stddev_pop(move) AS sigma FROM sectors GROUP BY 1),
 slots AS MATERIALIZED (SELECT ticker, n, mu, sigma, sim, day FROM stats, range({SIMS}) s(sim), range(1, {HORIZON + 1}) d(day))"""
 DRAWN = f"""drawn AS MATERIALIZED (SELECT s.ticker, s.sim, s.day, k.move AS ret FROM
   (SELECT *, {h("'draw'", 'ticker', 'sim', 'day')} % n AS pick FROM slots) s JOIN known k USING (ticker, pick))"""
