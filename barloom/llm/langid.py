@@ -15,11 +15,13 @@ import math
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +37,25 @@ MEMO = 200_000
 WORDS_AT_ONCE = 20_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
+ONLY_LETTERS = regex.compile(r"\p{L}+")
+GAP = "\u0100"
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> tuple[ahocorasick.Automaton, int]:
-    automaton, size = ahocorasick.Automaton(), 0
+def _pieces(path: str) -> tuple[ahocorasick.Automaton, np.ndarray]:
+    """An automaton of all pieces, and the length of each."""
+    automaton, pieces = ahocorasick.Automaton(), {}
     with open(path, "rb") as lines:
         for line in lines:
             if line.strip():
                 token, rank = line.split()
-                text = base64.b64decode(token).decode("latin-1")
-                automaton.add_word(text, (len(text), int(rank)))
-                size = max(size, int(rank) + 1)
+                pieces[int(rank)] = base64.b64decode(token).decode("latin-1")
+    sizes = np.zeros(max(pieces) + 1, np.int64)
+    for piece, text in pieces.items():
+        automaton.add_word(text, piece)
+        sizes[piece] = len(text)
     automaton.make_automaton()
-    return automaton, size
+    return automaton, sizes
 
 
 def words(text: str | None) -> list[str]:
@@ -56,30 +63,52 @@ def words(text: str | None) -> list[str]:
 
 
 def windows(word: str) -> list[str]:
-    text = (" " + word).encode().decode("latin-1")
-    return [text[i : i + WINDOW] for i in range(0, len(text), WINDOW)]
+    """What of a word is scored: none of a number such as ½, which is taken for a word at first."""
+    letters = [word] if word.isalpha() else ONLY_LETTERS.findall(word)
+    cut = [(" " + part).encode().decode("latin-1") for part in letters]
+    return [part[i : i + WINDOW] for part in cut for i in range(0, len(part), WINDOW)]
+
+
+class Places(dict):
+    """A number for each word, in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        return self.setdefault(word, len(self))
 
 
 class Lattice:
-    """All pieces at all places of many short strings, by the place where they end."""
+    """All pieces at all places of many short strings, by the place where they end, then by string.
+
+    The strings are searched as one, with a character between them that no piece holds. Each byte is a
+    piece, so one ends at every place of every string.
+    """
 
     def __init__(self, path: str, strings: list[str]):
-        automaton, _ = _pieces(path)
-        found = [(row, end + 1, n, piece) for row, s in enumerate(strings) for end, (n, piece) in automaton.iter(s)]
-        flat = np.array(found, np.int64).reshape(-1, 4)
-        flat = flat[np.argsort(flat[:, 1], kind="stable")]
-        self.row, self.end, self.start, self.piece = flat[:, 0], flat[:, 1], flat[:, 1] - flat[:, 2], flat[:, 3]
-        self.length = np.array([len(s) for s in strings], np.int64)
+        automaton, sizes = _pieces(path)
+        self.length = np.fromiter(map(len, strings), np.int64, len(strings))
         self.rows, self.width = len(strings), int(self.length.max(initial=0))
+        began = np.cumsum(self.length + 1) - self.length - 1
+        found = np.fromiter(chain.from_iterable(automaton.iter(GAP.join(strings))), np.int64).reshape(-1, 2)
+        row = np.repeat(np.arange(self.rows), self.length + 1)[found[:, 0]]
+        end = found[:, 0] + 1 - began[row]
+        order = np.argsort(end, kind="stable")
+        self.row, self.end, self.piece = row[order], end[order], found[order, 1]
+        self.start = self.end - sizes[self.piece]
         self.cuts = np.searchsorted(self.end, np.arange(self.width + 2))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """Probability of each beginning of each string, by the probability of each piece found."""
-        alpha = np.zeros((self.width + 1, self.rows))
+        """Probability of each beginning of each string, by the probability of each piece found; a column for each of p."""
+        alpha = np.zeros((self.width + 1, self.rows, p.shape[1]))
         alpha[0] = 1.0
         for j in range(1, self.width + 1):
             k = slice(self.cuts[j], self.cuts[j + 1])
-            alpha[j] = np.bincount(self.row[k], alpha[self.start[k], self.row[k]] * p[k], self.rows)
+            row = self.row[k]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            alpha[j, row[first]] = np.add.reduceat(alpha[self.start[k], row] * p[k], first, axis=0)
         return alpha
 
     def backward(self, p: np.ndarray) -> np.ndarray:
@@ -92,13 +121,13 @@ class Lattice:
 
     def log_probability(self, model: np.ndarray) -> np.ndarray:
         """One row per string, one column per language."""
-        totals = [self.forward(p[self.piece])[self.length, np.arange(self.rows)] for p in model]
-        return np.log(np.maximum(np.array(totals).T, 1e-300))
+        totals = self.forward(model.T[self.piece])[self.length, np.arange(self.rows)]
+        return np.log(np.maximum(totals, 1e-300))
 
     def expected(self, model: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces found, and how often each is expected in a segmentation, times the string's weight."""
         p = model[self.piece]
-        alpha, beta = self.forward(p), self.backward(p)
+        alpha, beta = self.forward(p[:, None])[:, :, 0], self.backward(p)
         total = np.maximum(alpha[self.length, np.arange(self.rows)], 1e-300)
         return self.piece, alpha[self.start, self.row] * p * beta[self.end, self.row] / total[self.row] * weight[self.row]
 
@@ -134,7 +163,7 @@ def fit(labelled: DataFrame, path: str, rows: int = TRAIN_ROWS, rounds: int = 2,
     """
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     total = known.count()
-    _, size = _pieces(path)
+    size = len(_pieces(path)[1])
     if not total:
         return [], np.zeros((0, size))
     counted = stored(word_counts(known.sample(min(1.0, rows / total), seed)))
@@ -178,25 +207,32 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, path: str, id_
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        known: dict[str, np.ndarray] = {}
+        places, known = Places(), np.zeros((0, len(langs) + 1))  # the last column counts windows
         for b in batches:
-            counts = [Counter(words(t)) for t in b.column(1).to_pylist()] if langs else [Counter()] * b.num_rows
-            if len(known) > MEMO:
-                known.clear()
-            new = list(dict.fromkeys(w for c in counts for w in c if w not in known))
-            for i in range(0, len(new), WORDS_AT_ONCE):
-                part = new[i : i + WORDS_AT_ONCE]
-                cut = [windows(w) for w in part]
+            if len(places) > MEMO:
+                places, known = Places(), known[:0]
+            found = [words(t) if langs else [] for t in b.column(1).to_pylist()]
+            found = [np.fromiter(map(places.__getitem__, w), np.int64, len(w)) for w in found]
+            values = [known]
+            for i in range(0, len(places.new), WORDS_AT_ONCE):
+                cut = [windows(w) for w in places.new[i : i + WORDS_AT_ONCE]]
                 value = Lattice(path, [s for c in cut for s in c]).log_probability(shipped.value)
-                first = np.cumsum([0, *(len(c) for c in cut)])[:-1]
-                known.update(zip(part, np.add.reduceat(value, first, axis=0), strict=True))
+                n = np.array([len(c) for c in cut])
+                first = np.cumsum(n) - n
+                sums = np.zeros((len(cut), len(langs) + 1))
+                sums[:, -1] = n
+                sums[n > 0, :-1] = np.add.reduceat(value, first[n > 0], axis=0)
+                values.append(sums)
+            places.new.clear()
+            known = np.concatenate(values)
             pred, score = [], []
-            for c in counts:
-                if not c:
+            for at in found:
+                *total, n = known[at].sum(0)
+                if not n:
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     continue
-                total = np.array(list(c.values()), float) @ np.array([known[w] for w in c])
+                total = np.array(total)
                 k = int(total.argmax())
                 pred.append(langs[k])
                 score.append(1.0 / math.fsum(np.exp(np.maximum(total - total[k], -700.0))))

@@ -22,8 +22,8 @@ def sum_of_segmentations(text, p):
 
 @pytest.fixture(scope="module")
 def pieces():
-    automaton, size = langid._pieces(PATH)
-    return {s: piece for s in automaton for _, piece in [automaton.get(s)]}, size
+    automaton, sizes = langid._pieces(PATH)
+    return {s: automaton.get(s) for s in automaton}, len(sizes)
 
 
 def test_forward_sums_all_segmentations(pieces):
@@ -97,3 +97,11 @@ def test_long_words_are_scored_whole():
     rng = random.Random(1)
     word = "".join(rng.choice("abcdefgh") for _ in range(1000))
     assert "".join(langid.windows(word)) == " " + word
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "one two three", "en"), (2, "\u00b2 \u00bd 12 _", None), (3, "three\u00b2", None), (4, "three", None)],
+                                 "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, ["en", "fr"], np.random.default_rng(3).random((2, 50256)), PATH).collect()}
+    assert got[2] == ("und", 0.0)
+    assert got[3] == got[4] and got[4][0] in ("en", "fr")
