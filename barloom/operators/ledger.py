@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import commission, position_size, slippage_cost, whole
 from barloom.functions.series import Series
 
+# Trades that a fold keeps loose; that many are put away together, so that adding one copies few.
+LOOSE = 256
+
 TRADE = (
     "date {date}, seq int, action string, quantity double, price double, commission double, "
     "slippage double, cash double, shares double"
@@ -132,7 +135,7 @@ def _fill(rules: Rules, state: Column, row: Column, opening: bool, date_type: st
         shares_after = held + side * q
         trade = F.struct(
             row["date"].alias("date"),
-            F.size(state["trades"]).cast("int").alias("seq"),
+            state["n"].alias("seq"),
             action.alias("action"),
             q.alias("quantity"),
             executed.alias("price"),
@@ -144,7 +147,8 @@ def _fill(rules: Rules, state: Column, row: Column, opening: bool, date_type: st
         done = F.struct(
             cash_after.alias("cash"),
             shares_after.alias("shares"),
-            F.concat(state["trades"], F.array(trade)).alias("trades"),
+            (state["n"] + 1).alias("n"),
+            F.concat(state["new"], F.array(trade)).alias("new"),
         )
         return F.when(q > 0, done).otherwise(state)
 
@@ -162,19 +166,35 @@ def trades(signals: DataFrame, series: Series, rules: Rules = Rules()) -> DataFr
     date_type = signals.schema[series.order].dataType.simpleString()
     rows = F.struct(F.col(series.order).alias("date"), "open", "trade_signal")
     events = F.sort_array(F.collect_list(rows))
+    none = F.array().cast(f"array<struct<{_ddl(date_type)}>>")
     start = F.struct(
-        F.lit(float(rules.initial_capital)).alias("cash"),
-        F.lit(0.0).alias("shares"),
-        F.array().cast(f"array<struct<{_ddl(date_type)}>>").alias("trades"),
+        F.struct(
+            F.lit(float(rules.initial_capital)).alias("cash"),
+            F.lit(0.0).alias("shares"),
+            F.lit(0).alias("n"),
+            none.alias("new"),
+        ).alias("state"),
+        none.alias("loose"),
+        F.array().cast(f"array<array<struct<{_ddl(date_type)}>>>").alias("away"),
     )
 
-    def step(state: Column, row: Column) -> Column:
-        return _let(
-            _fill(rules, state, row, False, date_type),
+    def step(sofar: Column, row: Column) -> Column:
+        """`_let` copies what it holds, so it holds the small state only. The trades of a row are put
+        with the others a row later."""
+        state, loose, full = sofar["state"], sofar["loose"], F.size(sofar["loose"]) >= LOOSE
+        fresh = F.struct(*(state[c].alias(c) for c in ("cash", "shares", "n")), none.alias("new"))
+        after = _let(fresh, lambda s: _let(
+            _fill(rules, s, row, False, date_type),
             lambda closed: _fill(rules, closed, row, True, date_type),
+        ))
+        return F.struct(
+            after.alias("state"),
+            F.concat(F.when(full, none).otherwise(loose), state["new"]).alias("loose"),
+            F.when(full, F.concat(sofar["away"], F.array(loose))).otherwise(sofar["away"]).alias("away"),
         )
 
-    folded = F.aggregate("events", start, step, lambda s: s["trades"])
+    folded = F.aggregate("events", start, step, lambda s: F.flatten(
+        F.concat(s["away"], F.array(s["loose"], s["state"]["new"]))))
     return (
         decisive_rows(signals, series)
         .groupBy(*series.keys)

@@ -208,7 +208,7 @@ def walk_forward(
     keys = list(by_window.keys)
     test = walk_forward_windows(bars, series, splits, ratio).where("part = 'test'")
     signals = strategy.signals(test, by_window, **params)
-    trade_list, curve = backtest(signals, by_window, rules)
+    trade_list, curve = backtest(signals, by_window, rules, marks=test)
     sizes = test.groupBy(*keys).agg(
         F.first("train_size").alias("train_size"), F.first("test_size").alias("test_size")
     )

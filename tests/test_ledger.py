@@ -232,3 +232,20 @@ def test_executors_need_no_package_for_the_fold(tmp_path):
     path.write_bytes(cloudpickle.dumps(stops.Book))
     check = "import pickle, sys; pickle.load(open(sys.argv[1], 'rb')); assert 'barloom' not in sys.modules"
     subprocess.run([sys.executable, "-c", check, str(path)], cwd="/", check=True)
+
+
+def test_many_trades_of_one_series(spark):
+    n = 4 * ledger.LOOSE + 3
+    bars = spark.range(n).select(
+        F.lit("A").alias("ticker"), F.expr("date_add(DATE '2000-01-01', CAST(id AS INT))").alias("date"),
+        (100.0 + F.col("id") % 7).alias("open"), F.lit(100.0).alias("close"),
+        F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("signal"))
+    got = ledger.trades(bars, Series("ticker"), Rules()).orderBy("seq").collect()
+    assert [t.seq for t in got] == list(range(n - 1))
+    assert [t.action for t in got] == ["BUY", "SELL"] * (n // 2)
+    cash = 10_000.0
+    for before, t in zip([None, *got], got):
+        assert before is None or before.date < t.date
+        side = 1 if t.action == "BUY" else -1
+        cash -= side * t.quantity * t.price + t.commission
+        assert t.cash == pytest.approx(cash)

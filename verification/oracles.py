@@ -82,6 +82,16 @@ ORACLES["bars_range_scan"] = sql(
     select="SELECT ticker, date, close, volume FROM raw "
     "WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'",
 )
+ORACLES["store_range_scan"] = sql(
+    RAW,
+    select="SELECT ticker::varchar AS ticker, date, close, volume::double AS volume FROM raw "
+    "WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'",
+)
+ORACLES["store_statistics"] = sql(
+    RAW,
+    select="SELECT ticker::varchar AS ticker, '1d' AS interval, count(*) AS n_rows FROM raw GROUP BY 1 "
+    "UNION ALL SELECT NULL, NULL, count(*) FROM raw",
+)
 ORACLES["bars_coverage"] = """
 SELECT l_suppkey AS ticker, min(CAST(l_shipdate AS DATE)) AS first_date,
        max(CAST(l_shipdate AS DATE)) AS last_date, count(DISTINCT CAST(l_shipdate AS DATE)) AS bars
@@ -503,14 +513,28 @@ ORACLES["perf_metrics"] = sql(*SHORT_RUN, select=f"SELECT ticker, {PERF_COLS} FR
 PAIR_COLS = f"ticker, side, place, entry_date, exit_date, quantity, {rs('pnl', 2)}"
 ORACLES["round_trips"] = sql(*SHORT_RUN, select=f"SELECT {PAIR_COLS} FROM pairs")
 ORACLES["round_trips_surplus"] = sql(
-    """trades AS MATERIALIZED (
+    """sided AS MATERIALIZED (
   SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, l_quantity AS quantity, l_extendedprice / l_quantity AS price,
-    l_extendedprice * 0.001::double AS commission,
-    CASE WHEN l_returnflag = 'A' THEN 'BUY' WHEN l_returnflag = 'R' THEN 'SELL' WHEN l_linenumber % 2 = 0 THEN 'SHORT' ELSE 'COVER' END AS action,
+    l_extendedprice * 0.001::double AS commission, l_returnflag IN ('A', 'R') AS long,
+    CASE WHEN l_returnflag IN ('A', 'R') THEN l_returnflag = 'A' ELSE l_linenumber % 2 = 0 END AS opens,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq
-  FROM lineitem),
-curve AS (SELECT 1 AS ticker, DATE '2000-01-01' AS date, 1.0 AS total_equity)""",
-    metric_ctes(),
+  FROM lineitem)""",
+    """queue AS MATERIALIZED (
+  SELECT *, CAST(sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER q AS BIGINT) AS bal, count(*) FILTER (opens) OVER q AS n_open
+  FROM sided WINDOW q AS (PARTITION BY ticker, long ORDER BY date, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+    # A close that takes the balance to a new low below 0 finds nothing open; the others close the opens in order.
+    """surplus AS MATERIALIZED (
+  SELECT *, least(0, min(bal) OVER (PARTITION BY ticker, long ORDER BY date, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS low FROM queue)""",
+    """closes AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY ticker, long ORDER BY date, seq) AS place
+  FROM (SELECT *, low < coalesce(lag(low) OVER (PARTITION BY ticker, long ORDER BY date, seq), 0) AS extra FROM surplus)
+  WHERE NOT opens AND NOT extra)""",
+    "entries AS MATERIALIZED (SELECT *, n_open AS place FROM queue WHERE opens)",
+    """pairs AS (
+  SELECT ticker, CASE WHEN long THEN 'LONG' ELSE 'SHORT' END AS side, place, o.date AS entry_date, c.date AS exit_date,
+    least(o.quantity, c.quantity) AS quantity,
+    CASE WHEN long THEN 1 ELSE -1 END * least(o.quantity, c.quantity) * (c.price - o.price) - o.commission - c.commission AS pnl
+  FROM entries o JOIN closes c USING (ticker, long, place))""",
     select=f"SELECT {PAIR_COLS} FROM pairs",
 )
 ORACLES["drawdown_series"] = sql(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -83,6 +84,24 @@ def bars_range_scan(spark, d):
     )
 
 
+def _bar_store(spark, d) -> store.BarStore:
+    """A store of its own under the session's warehouse, filled with all bars."""
+    made = store.BarStore(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/bars_{uuid.uuid4().hex}")
+    made.insert_absent(D.raw_bars(spark, d))
+    return made
+
+
+@query
+def store_range_scan(spark, d):
+    df = _bar_store(spark, d).load(start="1996-01-01", end="1998-12-31", columns=["ticker", "date", "close", "volume"])
+    return df.withColumn("date", F.col("date").cast("date"))
+
+
+@query
+def store_statistics(spark, d):
+    return _bar_store(spark, d).statistics().select("ticker", "interval", F.col("rows").alias("n_rows"))
+
+
 @query
 def bars_coverage(spark, d):
     df = D.walk_bars(spark, d).select("ticker", "date")
@@ -674,14 +693,14 @@ def strategy_ranking(spark, d):
 # -- intraday bars, in blocks -------------------------------------------------------------------------------------
 @query
 def intraday_indicators(spark, d):
-    """Hourly bars cut in blocks of 700 rows or more, each with the run-up the averages need."""
+    """Hourly bars cut in blocks of about 600 rows, each with the run-up the averages need."""
 
     def add(df: DataFrame, series: Series) -> DataFrame:
         df = df.withColumns({"sma20": series.mean("close", 20), "std20": series.std("close", 20)})
         df = indicators.with_atr(df, series)
         return drop_helpers(indicators.with_rsi(df, series))
 
-    df = blocks.in_blocks(D.hourly_bars(spark, d), TICKER, add, lookback=600, bin="day", rows=700)
+    df = blocks.in_blocks(D.hourly_bars(spark, d), TICKER, add, lookback=600, bin="day", rows=600)
     df = df.select("ticker", "date", "close", "sma20", "std20", "atr", "rsi")
     return rounded(df, close=6, sma20=6, std20=6, atr=6, rsi=6)
 
