@@ -105,11 +105,37 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Join the labels of the pairs a[i], b[i] in place; which of the pairs joined two that were apart."""
+    parent, joins = {}, np.zeros(len(a), bool)
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for i, (x, y) in enumerate(zip(labels[a].tolist(), labels[b].tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[y], joins[i] = x, True
+    if parent:
+        to = np.arange(len(labels))
+        to[list(parent)] = [root(x) for x in parent]
+        labels[:] = to[labels]
+    return joins
+
+
 def links_of_large(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the pairs within the radius connect, few more than there are values."""
+    """Links that connect what the pairs within the radius connect, fewer than there are values.
+
+    Each value is a query once, and a target until then, so no pair is missed; only pairs that are
+    not connected yet are looked at.
+    """
     n, bits = len(values), planes(values)
     full = np.uint64(2**64 - 1)
-    waiting, fresh, open_ = [], 0, np.ones(n, bool)
+    waiting, fresh = [], 0
+    open_, done, labels = np.ones(n, bool), np.zeros(n, bool), np.arange(n)
     left, right = [], []
     while True:
         queries, waiting = waiting[:QUERIES], waiting[QUERIES:]
@@ -118,30 +144,28 @@ def links_of_large(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndar
                 queries.append(fresh)
                 open_[fresh] = False
             fresh += 1
-        if not queries:
+        if not queries or (labels[~done] == labels[queries[0]]).all():
             break
         q = np.array(queries)
         own = np.where((values[q][None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), full, np.uint64(0))
         over = far((own[k][:, None] ^ bits[k][None, :] for k in range(64)), (len(q), bits.shape[1]), radius)
-        near = unpacked(~over, n)
-        target = open_.copy()
-        target[q] = True
-        near &= target
-        near[np.arange(len(q)), q] = False
+        near = unpacked(~over, n) & ~done & (labels[q][:, None] != labels)
+        done[q] = True
         which, at = np.nonzero(near)
         if len(at):
             first = near.argmax(0)[at]
             nodes, once = np.unique(at, return_index=True)
-            left.append(q[first[once]])
-            right.append(nodes)
             met = np.unique(which * len(q) + first)  # queries that meet in a value are linked as well
-            left.append(q[met // len(q)])
-            right.append(q[met % len(q)])
+            a = np.concatenate([q[first[once]], q[met // len(q)]])
+            b = np.concatenate([nodes, q[met % len(q)]])
+            joins = joined(labels, a, b)
+            left.append(a[joins])
+            right.append(b[joins])
             new = nodes[open_[nodes]]
             open_[new] = False
             waiting.extend(new.tolist())
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    return values[a[a != b]], values[b[a != b]]
+    return values[a], values[b]
 
 
 def links_of_buckets(bucket: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

@@ -103,6 +103,22 @@ def test_large_and_small_buckets_connect_the_same():
         assert joined({int(v) for v in values}, zip(a.tolist(), b.tolist(), strict=True)) == expected
 
 
+def test_single_bridges_between_large_clusters():
+    """Both ends of the only link wait for their turn as queries, in different batches."""
+    rng = random.Random(6)
+    for n in (40, 150):
+        a, bits = rng.getrandbits(64), rng.sample(range(64), 64)
+        b = a ^ sum(1 << k for k in bits[:12])
+        x, y = a ^ sum(1 << k for k in bits[:4]), a ^ sum(1 << k for k in bits[:8])
+        around = [sum(1 << k for k in rng.sample(bits[12:], 2)) for _ in range(2 * n)]
+        one, other = ({c ^ f for f in part} for c, part in ((a, around[:n]), (b, around[n:])))
+        values = [a, b, *one, x, *other, y]
+        assert len(set(brute_roots(values, 4).values())) == 1 and len(set(brute_roots(set(values) - {x}, 4).values())) == 2
+        u, v = simhash.links_of_large(np.array(values, np.uint64), 4)
+        assert joined(values, zip(u.tolist(), v.tolist(), strict=True)) == brute_roots(values, 4)
+        assert len(u) < len(values)
+
+
 def joined(nodes, links):
     root = {n: n for n in nodes}
     links = list(links)
