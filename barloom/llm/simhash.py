@@ -250,7 +250,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
 
     Rows without a doc_id come last. Of rows that repeat the same id and text one stays.
     """
-    fps, member = groups(docs, radius, id_col, text_col)
+    return first_of_each(docs, *groups(docs, radius, id_col, text_col), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, fps: DataFrame, member: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of smallest doc_id of each root; `fps` (doc_id, text_hash, fp) are the rows, `member` (fp, root) their groups."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     # Rows per fingerprint first, so that many copies are combined before they meet.
     rows = fps.groupBy("fp", "doc_id", "text_hash").count().groupBy("fp").agg(F.min(place).alias("p"), F.min_by("count", place).alias("n"))
