@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +31,9 @@ PATTERNS = {
 # One more kind of seed: a long hexadecimal word with both letters and digits.
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,64}(?![A-Za-z0-9])")
 # What may be an identifier: a word part with a digit, from 6 characters on.
-CANDIDATE = re.compile(r"[A-Za-z0-9@._%+/-]{6,128}")
+CANDIDATE = re.compile(r"[A-Za-z0-9@._%+/-]{6,}")
+# A word part of more characters than this is named by a hash as a cue; a longer identifier stays one even around a seed.
+LONG, LONG_TOKEN = 80, 128
 GLUED = re.compile(r"\S*[=:#]")
 # A pattern is sure from this share of its uses on, and with this many distinct seeds.
 SURE = 0.8
@@ -63,9 +67,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def cue(text: str, start: int) -> str | None:
-    """The pattern before a place: s:WORD for the word before, g:PART for what is glued to it."""
-    before = text[max(0, start - 80) : start]
+def cue(text: str, start: int, far: Far | None = None) -> str | None:
+    """The pattern before a place: s:WORD for the word before, g:PART (or h: and its hash, if it is long) for what is glued to it."""
+    before = text[max(0, start - LONG) : start]
+    if start > LONG and not any(c.isspace() for c in before.rstrip()):
+        return (far or Far(text)).cue(start)
     if before and not before[-1].isspace():
         part = before.split()[-1]
         return "g:" + part.lower() if part[-1] in "=:#" else None
@@ -73,12 +79,51 @@ def cue(text: str, start: int) -> str | None:
     return "s:" + words[-1].lower() if words else None
 
 
+def glued(word: str) -> dict[int, str]:
+    """The cues a word holds, by where they end; each character is read once."""
+    out, at, digest = {}, 0, hashlib.blake2b(digest_size=16)
+    for m in re.finditer("[=:#]", word):
+        digest.update(word[at : m.end()].lower().encode("utf-8", "surrogatepass"))
+        at = m.end()
+        out[at] = "g:" + word[:at].lower() if at <= LONG else "h:" + digest.hexdigest()
+    return out
+
+
+class Far:
+    """Cues of the places of one text whose word, or the word before, begins far before them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.last: tuple[int, dict[int, str]] = (-1, {})
+
+    @cached_property
+    def words(self) -> tuple[list[int], list[int]]:
+        spans = [m.span() for m in re.finditer(r"\S+", self.text)]
+        return [a for a, _ in spans], [b for _, b in spans]
+
+    def cue(self, start: int) -> str | None:
+        starts, ends = self.words
+        k = bisect_left(starts, start) - 1
+        if k < 0:
+            return None
+        if ends[k] < start or self.text[start - 1].isspace():
+            return "s:" + self.text[starts[k] : ends[k]].lower()
+        if self.last[0] != k:
+            self.last = k, glued(self.text[starts[k] : ends[k]])
+        return self.last[1].get(start - starts[k])
+
+
 def cues(text: str) -> list[str]:
     """All cues a text has, as `cue` would name them."""
-    words = text.lower().split()
-    out = ["s:" + w for w in words]
+    words = text.split()
+    out = ["s:" + w.lower() for w in words]
     if "=" in text or ":" in text or "#" in text:
-        out += ["g:" + w[: i + 1] for w in words for i, c in enumerate(w[:-1]) if c in "=:#"]
+        for w in words:
+            if len(w) > LONG:
+                out += [name for end, name in glued(w).items() if end < len(w)]
+            elif "=" in w or ":" in w or "#" in w:
+                w = w.lower()
+                out += ["g:" + w[: i + 1] for i, c in enumerate(w[:-1]) if c in "=:#"]
     return out
 
 
@@ -88,13 +133,14 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
         return []
     seeds = [*base, *((m.start(), m.end(), "secret") for m in SECRET.finditer(text))]
     taken = sorted((a, b) for a, b, _ in seeds)
-    out, k = [(a, b, kind, cue(text, a)) for a, b, kind in seeds], 0
+    far = Far(text)
+    out, k = [(a, b, kind, cue(text, a, far)) for a, b, kind in seeds], 0
     for m in CANDIDATE.finditer(text):
         a, b = m.start(), m.start() + len(m[0].rstrip(".,-/"))
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if b - a >= 6 and _DIGIT.search(text, a, b) and not (k < len(taken) and taken[k][0] < b):
-            out.append((a, b, None, cue(text, a)))
+        if b - a >= 6 and _DIGIT.search(text, a, b) and (b - a > LONG_TOKEN or not (k < len(taken) and taken[k][0] < b)):
+            out.append((a, b, None, cue(text, a, far)))
     return [c for c in out if c[3]]
 
 

@@ -113,3 +113,32 @@ def test_masking(spark, contexts, odd, odd_rows, empty):
 def test_overlapping_spans_become_one():
     assert pii.masked("call +4111 1111 1111 1111 now", []) in ("call [PHONE] now", "call +[CARD] now")
     assert pii.masked("a@b.cd", [(0, 6, "secret")]) == "[EMAIL]"
+
+
+def test_long_identifiers_are_whole(spark):
+    """Tokens of over 128 characters, also around a seed, behind plain and very long cues."""
+    rng = random.Random(12)
+    part = "https://" + "a" * 100 + "?key="
+    rows = [f"{prose(rng, 9)} hotline: +1 (555) 201-{1000 + k} {prose(rng, 9)} {part}+1 (555) 301-{1000 + k} end" for k in range(40)]
+    tokens = ["Zk7" + "".join(rng.choice("ghijkmnpqr789") for _ in range(n)) + "Q" for n in (130, 317, 5000)]
+    tokens.append("Zk" + "m" * 150 + "4111111111111111" + "m" * 150)
+    rows += [f"{prose(rng, 9)} hotline: {t} end" for t in tokens] + [f"{prose(rng, 9)} {part}{t} end" for t in tokens]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    found = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    for i, t in enumerate(rows[40:], 40):
+        token = tokens[(i - 40) % len(tokens)]
+        at = t.index(token)
+        assert f"phone:{at}:{at + len(token)}" in found[i].split(",")
+        assert masked[i] == t.replace(token, "[PHONE]")
+
+
+def test_cues_have_the_same_names_everywhere():
+    rng = random.Random(13)
+    for n in (3, 79, 80, 81, 200):
+        text = "".join(rng.choice("aB:=#c\u0130") for _ in range(n)) + "=x12345 " + "y" * n + " " * n + "z98765 w=1"
+        names = pii.cues(text)
+        for i in [k + 1 for k, c in enumerate(text) if c in "=:#"] + [text.index("z"), text.index("y")]:
+            assert pii.cue(text, i) in names
+    assert pii.cue("y" * 300 + " " * 300 + "z98765", 600) == "s:" + "y" * 300
+    assert pii.cue(" " * 300 + "z98765", 300) is None and pii.cue("z" * 300, 200) is None
