@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,27 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
 
 
+# A batch is handled in pieces of about this many bytes, since Spark bounds its rows and, from some way on, its bytes.
+PIECE_BYTES = 2_000_000
+
+
+def plain_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and text alone, for functions that take their batches in `pieces`; the session stays as it is."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterable[pa.RecordBatch]:
+    """The rows of `batches` in pieces of about PIECE_BYTES of text in `column`; a longer text is a piece of its own."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + PIECE_BYTES, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where that is unset, as in local tests, one under the warehouse."""
     given = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, decontam, langid, licenses, packing, pii, quality, simhash, suffix_dedup
+from barloom.llm import bpe, chat, decontam, langid, licenses, packing, pii, quality, runs, simhash, suffix_dedup
 from barloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +84,23 @@ def op10_quality(spark, d):
     return quality.assess(read(spark, d, "documents")).drop("rejected_by")
 
 
+def _periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words from some place on repeat a block, in about a tenth of the documents; without a doc_id never."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    block = words[a : a + p]
+    return words[:a] + (block * (-(-(n - a) // p)))[: n - a]
+
+
+@query
+def op13_periodic_runs(spark, d):
+    return runs.find(read(spark, d, "documents"), edit=_periodic_tail)
+
+
 ORACLES["op6_chat_format"] = r"""
 WITH given AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -49,7 +49,7 @@ def test_stages(spark, sf):
 
 def test_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_odd_rows_pass_through(spark, odd, odd_rows):
