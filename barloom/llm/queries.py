@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, decontam, langid, licenses, packing, pii, quality, runs, simhash, suffix_dedup
+from barloom.llm import bpe, chat, decontam, langid, licenses, packing, pii, quality, runs, simhash, suffix_dedup, syncmers, whitening
 from barloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,16 @@ def op10_quality(spark, d):
     return quality.assess(read(spark, d, "documents")).drop("rejected_by")
 
 
+@query
+def op11_fingerprints(spark, d):
+    return syncmers.compare(read(spark, d, "documents"))
+
+
+@query
+def op12_whitening(spark, d):
+    return whitening.whitened(read(spark, d, "embeddings"))
+
+
 def _periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words from some place on repeat a block, in about a tenth of the documents; without a doc_id never."""
     h = zlib.crc32(str(doc_id).encode())
