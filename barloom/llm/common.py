@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterable
@@ -79,6 +80,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by `written` that nothing reads any more, and let Spark delete the shuffle files of plans that are gone."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        for name in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` as a checkpoint in the shared folder, so that a lost executor loses none of it."""
     sc = df.sparkSession.sparkContext

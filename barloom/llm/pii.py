@@ -3,8 +3,9 @@
 Identifiers that the base patterns find are seeds. The cue before a seed - the word before it, or the part
 of its own word up to a `=`, `:` or `#` - is a lexical pattern. Patterns and the identifiers they introduce form a graph.
 A pattern is as sure as the share of all its uses in the corpus that introduce an identifier held to be
-one; an identifier is held to be one if it is a seed or follows a sure pattern. Spark scores the graph
-for a few rounds. Unseen identifiers behind sure patterns become further spans.
+one; an identifier is held to be one if it is a seed or follows a sure pattern. So identifiers that a sure pattern finds
+support further patterns, which find more. Spark scores the graph until no new pattern becomes sure. Unseen identifiers
+behind sure patterns become further spans.
 """
 
 from __future__ import annotations
@@ -22,23 +23,25 @@ from pyspark.sql import functions as F
 from barloom.llm.common import batch, stored, texts, unused
 
 KINDS = ("email", "ip", "card", "phone")
+# Each reads a text in time linear in its length. A number that starts no address within a run of digits starts none later in it.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+# An address is read from its @ on, and from there back.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # One more kind of seed: a long hexadecimal word with both letters and digits.
-SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,64}(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,}+(?![A-Za-z0-9])")
 # What may be an identifier: a word part with a digit, from 6 characters on.
 CANDIDATE = re.compile(r"[A-Za-z0-9@._%+/-]{6,}")
-# A word part of more characters than this is named by a hash as a cue; a longer identifier stays one even around a seed.
-LONG, LONG_TOKEN = 80, 128
+# A word part of more characters than this is named by a hash as a cue.
+LONG = 80
 GLUED = re.compile(r"\S*[=:#]")
-# A pattern is sure from this share of its uses on, and with this many distinct seeds.
+# A pattern is sure from this share of its uses on, and with this many distinct identifiers held to be such.
 SURE = 0.8
 SUPPORT = 5
-ROUNDS = 3
 # Cues counted in a task before they are handed on.
 CUES = 200_000
 _DIGIT = re.compile("[0-9]")
@@ -52,18 +55,31 @@ def luhn(digits: str) -> bool:
 
 def _valid(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
-    if kind == "email":
-        return True
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in text.split(".")))
     digits = _NO_DIGIT.sub("", text)
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Addresses from left to right, none overlapping; each character is read at most twice."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, m.end()))
+            done = m.end()
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed; a match that is not valid is dropped."""
     kinds = [] if not _DIGIT.search(text) else ["ip", "card"] + ["phone"] * ("+" in text)
-    kinds += ["email"] * ("@" in text)
     found = [(m.start(), m.end(), k) for k in kinds for m in PATTERNS[k].finditer(text) if _valid(k, m[0])]
+    found += [(a, b, "email") for a, b in emails(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -127,20 +143,24 @@ def cues(text: str) -> list[str]:
     return out
 
 
-def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str]]:
-    """(start, end, kind of the seed or None, cue) of all places with a cue that hold or may hold an identifier."""
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str | None, str, int]]:
+    """(start, end, kind of the seed or None, cue, weight) of all places with a cue that hold or may hold an identifier.
+
+    A word part around a seed is one more identifier; where both start together they are one use of the cue, so it weighs nothing.
+    """
     if not base and not _DIGIT.search(text):
         return []
-    seeds = [*base, *((m.start(), m.end(), "secret") for m in SECRET.finditer(text))]
-    taken = sorted((a, b) for a, b, _ in seeds)
+    seeds = sorted([*base, *((m.start(), m.end(), "secret") for m in SECRET.finditer(text))])
+    begun = {a for a, _, _ in seeds}
     far = Far(text)
-    out, k = [(a, b, kind, cue(text, a, far)) for a, b, kind in seeds], 0
+    out, k, reach = [(a, b, kind, cue(text, a, far), 1) for a, b, kind in seeds], 0, 0
     for m in CANDIDATE.finditer(text):
         a, b = m.start(), m.start() + len(m[0].rstrip(".,-/"))
-        while k < len(taken) and taken[k][1] <= a:
+        while k < len(seeds) and seeds[k][0] <= a:
+            reach = max(reach, seeds[k][1])
             k += 1
-        if b - a >= 6 and _DIGIT.search(text, a, b) and (b - a > LONG_TOKEN or not (k < len(taken) and taken[k][0] < b)):
-            out.append((a, b, None, cue(text, a, far)))
+        if b - a >= 6 and reach < b and _DIGIT.search(text, a, b):
+            out.append((a, b, None, cue(text, a, far), int(a not in begun)))
     return [c for c in out if c[3]]
 
 
@@ -149,12 +169,12 @@ def joined(spans) -> str:
 
 
 _SCAN = ("doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-         "found array<struct<start:long,end:long,kind:string,cue:string,instance:long>>")
+         "found array<struct<start:long,end:long,kind:string,cue:string,instance:long,weight:long>>")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans and places with a cue, one row per row of `docs`, without a shuffle."""
-    found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("cue", pa.string()), ("instance", pa.int64())]))
+    found = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("cue", pa.string()), ("instance", pa.int64()), ("weight", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS),
                         ("base_sha256", pa.string()), ("base", pa.string()), ("found", found)])
 
@@ -166,7 +186,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 base = base_spans(text)
                 n = Counter(k for _, _, k in base)
                 rows.append((*(n[k] for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base), [
-                    {"start": s, "end": e, "kind": k, "cue": c, "instance": _number(text[s:e])} for s, e, k, c in candidates(text, base)]))
+                    {"start": s, "end": e, "kind": k, "cue": c, "instance": _number(text[s:e]), "weight": w} for s, e, k, c, w in candidates(text, base)]))
             yield batch(schema, b.column(0), b.column(2), *([r[k] for r in rows] for k in range(7)))
 
     rows = texts(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -195,28 +215,48 @@ def cue_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "cue string, uses long").groupBy("cue").agg(F.sum("uses").alias("uses"))
 
 
-def sure_patterns(scanned: DataFrame, counts: DataFrame, sure: float = SURE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """cue, kind, confidence of the patterns that hold after some rounds of scoring.
+def graph(scanned: DataFrame, counts: DataFrame, sure: float = SURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """Edges cue, instance, n (uses), kind (of the seed) and uses of the cue; and instance, kind of the seeds.
+
+    Only cues that would be sure if all they introduce were identifiers have edges; no other can become sure.
+    """
+    place = scanned.select(F.explode("found").alias("f")).select("f.cue", "f.instance", "f.kind", "f.weight")
+    edge = place.groupBy("cue", "instance").agg(F.sum("weight").alias("n"), F.min("kind").alias("kind"))
+    able = edge.groupBy("cue").agg(F.count("*").alias("instances"), F.sum("n").alias("n")).where(F.col("instances") >= support)
+    able = able.join(counts, "cue").where(F.col("n") >= sure * F.col("uses")).select("cue", "uses")
+    seeds = stored(edge.where("kind IS NOT NULL").groupBy("instance").agg(F.min("kind").alias("kind")))
+    return stored(edge.join(able, "cue")), seeds
+
+
+def scored(edge: DataFrame, held: DataFrame) -> DataFrame:
+    """cue, kind, confidence, support: one round of scoring by the identifiers held to be such (instance, kind).
+
+    kind is that of most of a cue's identifiers (ties: the first by name), support their number.
+    """
+    per_kind = edge.drop("kind").join(held, "instance").groupBy("cue", "kind").agg(
+        F.count("*").alias("m"), F.sum("n").alias("sum"), F.max("uses").alias("uses"))
+    return per_kind.groupBy("cue").agg(
+        F.min_by("kind", F.struct(-F.col("m"), "kind")).alias("kind"),
+        F.least(F.lit(1.0), F.sum("sum") / F.max("uses")).alias("confidence"), F.sum("m").alias("support"))
+
+
+def sure_patterns(scanned: DataFrame, counts: DataFrame, sure: float = SURE, support: int = SUPPORT) -> DataFrame:
+    """cue, kind, confidence of the sure patterns, scored in rounds until no new one becomes sure.
 
-    kind is that of most seeds of a pattern (ties: the first by name). Only patterns with `support` distinct
-    seeds enter the graph; no other can become sure.
+    What a sure pattern introduces is held to be an identifier in the next round, of the kind of the most confident such pattern (then
+    the first by name). Identifiers only become more, so a pattern stays sure and the rounds end.
     """
-    place = scanned.select(F.explode("found").alias("f")).select("f.cue", "f.instance", "f.kind")
-    edge = place.groupBy("cue", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
-    seeds = edge.where("kind IS NOT NULL").groupBy("cue", "kind").agg(F.count("*").alias("n"))
-    cue_kind = seeds.groupBy("cue").agg(F.sum("n").alias("seeds"), F.min_by("kind", F.struct(-F.col("n"), "kind")).alias("cue_kind")).where(F.col("seeds") >= support)
-    known = stored(cue_kind.join(counts, "cue"))
-    edge = stored(edge.join(known.select("cue"), "cue"))
-    score = edge.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("s"))
-    confident = None
-    for _ in range(rounds):
-        confident = edge.join(score, "instance").groupBy("cue").agg(F.sum(F.col("n") * F.col("s")).alias("held")).join(known, "cue").select(
-            "cue", "cue_kind", F.least(F.lit(1.0), F.col("held") / F.col("uses")).alias("confidence"))
-        confident = stored(confident)
-        reached = edge.join(confident.where(F.col("confidence") >= sure), "cue").groupBy("instance").agg(F.max("confidence").alias("c"))
-        seed = edge.groupBy("instance").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("s"))
-        score = stored(seed.join(reached, "instance", "left").select("instance", F.greatest("s", F.coalesce("c", F.lit(0.0))).alias("s")))
-    return confident.where(F.col("confidence") >= sure).select("cue", F.col("cue_kind").alias("kind"), "confidence")
+    edge, seeds = graph(scanned, counts, sure, support)
+    held, known = seeds, -1
+    while True:
+        found = stored(scored(edge, held).where((F.col("confidence") >= sure) & (F.col("support") >= support)).drop("support"))
+        now = found.count()
+        if now == known or not now:
+            return found
+        known = now
+        reached = edge.select("cue", "instance").join(found, "cue").select("instance", F.col("confidence").alias("s"), "kind")
+        both = seeds.select("instance", "kind", F.lit(2.0).alias("s")).unionByName(reached.select("instance", "kind", "s"))  # seeds first
+        held = stored(both.groupBy("instance").agg(F.min_by("kind", F.struct(-F.col("s"), "kind")).alias("kind")))
 
 
 def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -231,8 +271,8 @@ def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Personal data of each row of `docs`.
 
-    doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base and spans (text: kind:start:end, joined by commas) and more (the
-    discovered spans). A null text is an empty one; a null doc_id stays null; repeated rows give repeated
+    doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base and spans (text: kind:start:end, joined by commas), more (the
+    discovered spans) and n_found (their number). A null text is an empty one; a null doc_id stays null; repeated rows give repeated
     rows. What a document holds is bounded by its length.
     """
     scanned = stored(scan(docs, id_col, text_col))
@@ -246,7 +286,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     extra = F.transform(F.coalesce("more", F.array().cast("array<struct<start:long,end:long,kind:string>>")), lambda s: F.struct(
         s.start.alias("start"), F.array_position(order, s.kind).alias("rank"), s.end.alias("end"), s.kind.alias("kind")))
     spans = F.array_join(F.transform(F.array_sort(F.concat(base, extra)), lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
-    return both.select("doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "more", spans.alias("spans"))
+    return both.select("doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "more", F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_found"), spans.alias("spans"))
 
 
 def masked(text: str | None, more: list[tuple[int, int, str]]) -> str | None:

@@ -46,7 +46,7 @@ def op4_decontamination(spark, d):
 @query
 def op5_pii(spark, d):
     found = pii.find(read(spark, d, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found")
 
 
 @query

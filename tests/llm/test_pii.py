@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -92,11 +93,100 @@ def test_sure_contexts_find_unseen_identifiers(spark, contexts):
 
 def test_scores_as_counted_by_hand(spark, contexts):
     df = spark.createDataFrame(contexts, "doc_id long, text string")
-    got = {r.cue: (r.kind, r.confidence) for r in pii.sure_patterns(pii.scan(df), pii.cue_counts(df), sure=0.0, rounds=1).collect()}
-    assert got["s:hotline:"] == ("phone", pytest.approx(40 / 45))
+    got = {r.cue: (r.kind, r.confidence, r.support) for r in pii.scored(*pii.graph(pii.scan(df), pii.cue_counts(df), sure=0.0)).collect()}
+    assert got["s:hotline:"] == ("phone", pytest.approx(40 / 45), 40)
     assert got["s:the"][1] == pytest.approx(40 / (40 * 4 + 5))
 
 
+def by_hand(rows, sure=pii.SURE, support=pii.SUPPORT):
+    """Sure cues and discovered spans, in plain loops."""
+    scanned = {i: pii.candidates(t or "", pii.base_spans(t or "")) for i, t in rows}
+    uses = {}
+    for _, t in rows:
+        for c in pii.cues(t or ""):
+            uses[c] = uses.get(c, 0) + 1
+    places = {}
+    kinds = {}
+    for i, t in rows:
+        for a, b, kind, c, weight in scanned[i]:
+            places.setdefault(c, {}).setdefault(t[a:b], []).append(weight)
+            if kind:
+                kinds[t[a:b]] = min(kind, kinds.get(t[a:b], kind))
+    held, found = dict(kinds), {}
+    while True:
+        new = {}
+        for c, each in places.items():
+            known = [x for x in each if x in held]
+            conf = min(1.0, sum(sum(each[x]) for x in known) / uses[c]) if c in uses else 0
+            if len(known) >= support and conf >= sure and sum(map(sum, each.values())) >= sure * uses[c]:
+                of = [held[x] for x in known]
+                new[c] = (min(set(of), key=lambda k: (-of.count(k), k)), conf)
+        same, found = len(new) == len(found), new
+        if same:
+            break
+        by = {}
+        for c, (kind, conf) in found.items():
+            for x in places[c]:
+                by[x] = min(by.get(x, (0, "")), (-conf, kind))
+        held = {x: kind for x, (_, kind) in by.items()} | kinds
+    spans = {i: sorted({(a, b, kind or found[c][0]) for a, b, kind, c, _ in scanned[i] if c in found and kind in (None, "secret")}) for i, _ in rows}
+    return found, spans
+
+
+def test_patterns_found_by_patterns(spark, contexts):
+    """Identifiers behind a pattern that seeds support make a second pattern sure, and that one a third."""
+    rng = random.Random(21)
+    ids = [f"x5512{k}99" for k in range(7)]
+    others = [f"q77{k}41z" for k in range(6)]
+    rows = [t for _, t in contexts[:40]] + [f"{prose(rng, 9)} hotline: {x} {prose(rng, 9)}" for x in ids]
+    rows += [f"{prose(rng, 9)} subscriber: {x} {prose(rng, 9)}" for x in ids * 6]
+    rows += [f"{prose(rng, 9)} subscriber: {x} {prose(rng, 9)}" for x in others]
+    rows += [f"{prose(rng, 9)} member={x} {prose(rng, 9)}" for x in others * 4 + ["unseen99x"]]
+    rows += [f"{prose(rng, 9)} weak: {x} {prose(rng, 9)}" for x in others] + [f"weak: {prose(rng, 9)}"] * 9
+    numbered = list(enumerate(rows))
+    df = spark.createDataFrame(numbered, "doc_id long, text string")
+    found, spans = by_hand(numbered)
+    assert set(found) == {"s:hotline:", "s:subscriber:", "g:member="}
+    got = {r.cue: (r.kind, r.confidence) for r in pii.sure_patterns(pii.scan(df), pii.cue_counts(df)).collect()}
+    assert got == {c: (k, pytest.approx(p)) for c, (k, p) in found.items()}
+    for r in pii.find(df).collect():
+        assert [tuple(m) for m in r.more or []] == spans[r.doc_id] and r.n_found == len(spans[r.doc_id])
+    assert sum(map(len, spans.values())) == 7 + 42 + 6 + 25
+
+
+def test_discovered_spans_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found, spans = by_hand([(r.doc_id, r.text) for r in docs.collect()])
+    for r in pii.find(docs).collect():
+        assert [tuple(m) for m in r.more or []] == spans[r.doc_id]
+
+
+def test_long_texts_in_linear_time(spark):
+    """None of these may take time that grows with the square of its length."""
+    n = 1_000_000
+    rows = ["0" * 5000 + ".1.1.1", "1" * n, "a" * n + "@", "a" * n + "@b", "@" * n, "a@" * (n // 2), "1." * (n // 2), "+1" + " " * n, "0.1.2.3" * (n // 7), "f0" * (n // 2), "a.b-" * (n // 4) + "@x.y"]
+    began = time.process_time()
+    assert pii.base_spans(rows[0]) == [(0, 5006, "ip")]
+    assert pii.base_spans(rows[-1])[-1] == (0, len(rows[-1]), "email")
+    for text in rows:
+        pii.candidates(text, pii.base_spans(text))
+    assert time.process_time() - began < 60
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert pii.find(df).count() == pii.mask(df).count() == len(rows)
+    assert pii.masked(rows[0], []) == "[IP]"
+
+
+def test_identifiers_around_seeds_of_any_size(spark):
+    rng = random.Random(31)
+    rows = [f"{prose(rng, 9)} hotline: +1 (555) 201-{1000 + k} {prose(rng, 9)}" for k in range(60)]
+    tokens = ["Zk" + "m" * k + "4111111111111111" + "m" * k for k in (1, 40, 55, 150)] + ["ab12" * 32, "0f" * 33]
+    rows += [f"{prose(rng, 9)} hotline: {t} end" for t in tokens]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    for i, (text, token) in enumerate(zip(rows[60:], tokens, strict=True), 60):
+        assert token in text and masked[i] in (text.replace(token, "[PHONE]"), text.replace(token, "[SECRET]"))
+
+
 def test_masking(spark, contexts, odd, odd_rows, empty):
     df = spark.createDataFrame([(i, t, len(t)) for i, t in contexts], "doc_id long, text string, n_chars long")
     for r in pii.mask(df, length_col="n_chars").collect():

@@ -8,18 +8,14 @@ import corpus_pipeline  # noqa: E402
 from barloom.llm import bpe  # noqa: E402
 from barloom.llm.queries import QUERIES  # noqa: E402
 
-from . import test_decontam, test_pii, test_quality, test_simhash  # noqa: E402
+from . import test_decontam, test_jaccard, test_pii, test_quality  # noqa: E402
 
 
 def brute(rows, items):
-    rows = [r for r in rows if test_quality.brute(r[1])[-1]]
-    roots = test_simhash.brute_roots({test_simhash.brute_fingerprint(r[1]) for r in rows}, 4)
-    first = {}
-    for r in sorted(rows, key=lambda r: r[0]):
-        first.setdefault(roots[test_simhash.brute_fingerprint(r[1])], r)
+    rows = {r[0]: r[1] for r in rows if test_quality.brute(r[1])[-1]}
+    first = sorted(set(test_jaccard.roots_by_shared_shingles(rows.items()).values()))
     plain = test_decontam.plain
-    kept = [r for r in first.values() if not any(plain(t) in plain(r[1]) for t in items)]
-    return sorted((r[0], r[1]) for r in kept)
+    return [(i, rows[i]) for i in first if not any(plain(t) in plain(rows[i]) for t in items)]
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])

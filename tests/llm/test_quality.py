@@ -1,3 +1,4 @@
+import time
 import re
 from collections import Counter
 
@@ -41,9 +42,18 @@ def test_order_does_not_change_what_is_kept(odd, odd_rows):
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == want
 
 
-def test_order_is_by_rejection_per_cost(sample):
-    order = quality.rule_order(sample)
-    assert sorted(order) == sorted(quality.RULES)
+def test_order_is_by_rejection_per_cost(sample, monkeypatch):
+    """Rules of known cost and rejection: cheap ones that reject much come first, costly ones that reject little last."""
+    def rule(seconds, one_in):
+        def fails(d):
+            time.sleep(seconds)
+            return one_in and len(d.text) % one_in == 0
+        return fails
+
+    rules = {"never": rule(0.0001, 0), "dear_often": rule(0.02, 1), "cheap_often": rule(0.0002, 1), "cheap_seldom": rule(0.0002, 10), "dear_seldom": rule(0.02, 10)}
+    monkeypatch.setattr(quality, "RULES", rules)
+    order = quality.rule_order(sample.limit(60))
+    assert order == ["cheap_often", "cheap_seldom", "dear_often", "dear_seldom", "never"]
 
 
 def test_cascade_stops_at_the_first_rejection(monkeypatch):
