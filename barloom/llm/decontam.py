@@ -3,7 +3,7 @@
 A text of m characters that is altered by at most e edits still shares m - q + 1 - q * e of its q-grams
 with the original, all on diagonals at most e apart. So shared q-grams are counted in bands of diagonals
 that overlap by half; bands below that bound hold no match. The rest is verified by an alignment that is
-confined to the band.
+confined to the band. Items too short for that are looked for as they are, at word boundaries.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from barloom.llm.common import batch, small_batches, texts
 Q = 8
 # Share of an item's characters that may be edited.
 EDIT_RATE = 0.1
-# Shorter items say too little to tell a leak from chance; they are not searched for.
+# Shorter items say too little to tell an altered copy from chance; only exact copies of them are searched for.
 MIN_CHARS = 32
 # Characters of the items that are indexed at a time: the bound of what is shipped to tasks.
 BLOCK_CHARS = 2_000_000
@@ -51,7 +52,7 @@ def grams(chars: np.ndarray) -> np.ndarray:
 class Index:
     """The q-grams of a block of items, and what is asked of each item."""
 
-    ids: np.ndarray
+    ids: list[int | None]  # of the items searched by q-grams, then of the short ones
     chars: list[np.ndarray]
     edits: np.ndarray
     needed: np.ndarray
@@ -60,10 +61,13 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     slots: np.ndarray
+    short: ahocorasick.Automaton | None
 
     @classmethod
     def of(cls, items: list[tuple[int, str | None]], rate: float = EDIT_RATE, min_chars: int = MIN_CHARS) -> Index:
-        known = [(i, c) for i, c in ((i, codes(t)) for i, t in items) if len(c) >= max(min_chars, Q)]
+        given = [(i, codes(t)) for i, t in items]
+        known = [(i, c) for i, c in given if len(c) >= max(min_chars, Q)]
+        brief = [(i, c.tobytes().decode("utf-32-le")) for i, c in given if 0 < len(c) < max(min_chars, Q)]
         chars = [c for _, c in known]
         m = np.array([len(c) for c in chars], np.int64)
         edits = np.minimum((rate * m).astype(np.int64), (m - Q) // Q)  # the bound stays positive
@@ -75,8 +79,16 @@ class Index:
         gram, first = np.unique(gram[order], return_index=True)
         slots = np.zeros(1 << _BITS, bool)
         slots[_slot(gram)] = True
-        return cls(np.array([i for i, _ in known], np.int64), chars, edits, m - Q + 1 - Q * edits, gram,
-                   np.append(first, len(order)), item[order], place[order], slots)
+        same: dict[str, list[int]] = {}
+        for k, (_, t) in enumerate(brief, len(known)):
+            same.setdefault(t, []).append(k)
+        short = ahocorasick.Automaton() if same else None
+        for t, numbers in same.items():
+            short.add_word(t, (t, numbers))
+        if short:
+            short.make_automaton()
+        return cls([i for i, _ in known + brief], chars, edits, m - Q + 1 - Q * edits, gram,
+                   np.append(first, len(order)), item[order], place[order], slots, short)
 
     def hits(self, chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Places of shared q-grams in a text, their items and places in these, about HITS at a time."""
@@ -94,6 +106,18 @@ class Index:
                 yield np.repeat(p, c), self.item[each], self.place[each]
 
 
+def exact(index: Index, chars: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(item, start, end, 0 edits) of the first place of each short item where no letter or digit of the text adjoins one of the item."""
+    text = chars.tobytes().decode("utf-32-le")
+    first: dict[int, tuple[int, int]] = {}
+    for last, (t, numbers) in index.short.iter(text) if text else ():
+        a, b = last + 1 - len(t), last + 1
+        if numbers[0] in first or (a and t[0].isalnum() and text[a - 1].isalnum()) or (b < len(text) and t[-1].isalnum() and text[b].isalnum()):
+            continue
+        first.update(dict.fromkeys(numbers, (a, b)))
+    return [(k, a, b, 0) for k, (a, b) in sorted(first.items())]
+
+
 def _slot(gram: np.ndarray) -> np.ndarray:
     return (gram * np.uint64(_STEP)) >> np.uint64(64 - _BITS)
 
@@ -134,7 +158,7 @@ def matches(index: Index, chars: np.ndarray, starts: np.ndarray) -> list[tuple[i
         diagonal = place - starts[doc] - inside
         width = index.edits[item] + 1
         band = diagonal // width  # bands band and band - 1 hold it; each is two widths wide
-        pair = doc * len(index.ids) + item
+        pair = doc * len(index.chars) + item
         key = (pair << 32) + band + (1 << 31)
         keys.append(np.unique(np.concatenate([key, key - 1]), return_counts=True))
     if not keys:
@@ -142,10 +166,10 @@ def matches(index: Index, chars: np.ndarray, starts: np.ndarray) -> list[tuple[i
     key, at = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
     count = np.bincount(at, np.concatenate([n for _, n in keys]))
     pair, band = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
-    enough = count >= index.needed[pair % len(index.ids)]
+    enough = count >= index.needed[pair % len(index.chars)]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for p, b in zip(pair[enough].tolist(), band[enough].tolist(), strict=True):
-        doc, item = divmod(p, len(index.ids))
+        doc, item = divmod(p, len(index.chars))
         pattern, e = index.chars[item], int(index.edits[item])
         text = chars[starts[doc] : starts[doc + 1] - 1]
         low, width = b * (e + 1) - e, 2 * (e + 1) + 2 * e
@@ -159,13 +183,14 @@ def matches(index: Index, chars: np.ndarray, starts: np.ndarray) -> list[tuple[i
 
 
 def _found(index: Index, column: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-    if not len(index.ids):
-        return []
     parts = [codes(t) for t in column]
+    found = [(doc, *f) for doc, p in enumerate(parts) for f in exact(index, p)] if index.short else []
+    if not index.chars:
+        return found
     starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
     gap = np.array([_GAP], np.uint32)
     chars = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap[:0]
-    return matches(index, chars, starts)
+    return found + matches(index, chars, starts)
 
 
 def indexes(items: DataFrame, rate: float = EDIT_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
@@ -175,12 +200,12 @@ def indexes(items: DataFrame, rate: float = EDIT_RATE, min_chars: int = MIN_CHAR
     Only one block at a time is on the driver and in tasks, however large the benchmark is; each block is
     one pass over the documents. A single item longer than a block makes a block of its own.
     """
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for k in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        found = Index.of(sorted((r.i, r.t) for r in part.toLocalIterator()), rate, min_chars)
+        found = Index.of(sorted(((r.i, r.t) for r in part.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), rate, min_chars)
         if len(found.ids):
             yield found
 
@@ -189,8 +214,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """doc_id, item_id, start, end, edits: each benchmark item in each document, at its first best place.
 
     Places count in the lower-case text with single spaces. Documents are read in place, without a shuffle.
-    Null and empty texts match nothing; items below `min_chars` are not searched; repeated rows and items
-    give repeated matches; a null doc_id stays null.
+    Null and empty texts match nothing; of items below `min_chars` only exact copies at word boundaries are found; repeated rows and items
+    give repeated matches; a null doc_id or item_id stays null.
     """
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "start", "end", "edits")])
     out = None
@@ -201,7 +226,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             for b in batches:
                 found = _found(shipped.value, b.column(1).to_pylist())
                 ids = b.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                yield batch(schema, ids, shipped.value.ids[[f[1] for f in found]] if found else [], *([f[k] for f in found] for k in (2, 3, 4)))
+                yield batch(schema, ids, [shipped.value.ids[f[1]] for f in found], *([f[k] for f in found] for k in (2, 3, 4)))
 
         part = texts(docs, id_col, text_col).mapInArrow(run, ", ".join(f"`{c}` long" for c in schema.names))
         out = part if out is None else out.unionByName(part)
@@ -211,7 +236,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item, with all their columns; no shuffle."""
+    """The rows of `docs` that hold no benchmark item, with all their columns; no shuffle.
+
+    Short items count too, and items without an id; a caller who means to keep what is said by chance leaves short items out of `items`.
+    """
     for index in indexes(items, **options):
         shipped = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -57,7 +57,9 @@ def test_finds_what_whole_alignment_finds(spark, planted):
             m = len(plain(item))
             e = min(int(decontam.EDIT_RATE * m), (m - decontam.Q) // decontam.Q)
             edits = best(plain(item), plain(text)) if m >= decontam.MIN_CHARS else m + 1
-            if m >= decontam.MIN_CHARS and edits <= e:
+            if 0 < m < decontam.MIN_CHARS:
+                assert ((i, k) in got) == (f" {plain(item)} " in f" {plain(text)} ")
+            elif m >= decontam.MIN_CHARS and edits <= e:
                 for found, start, end in got[i, k]:
                     assert found == edits
                     assert best(plain(item), plain(text)[start:end]) == edits
@@ -109,3 +111,18 @@ def test_hits_come_in_bounded_parts(monkeypatch):
     assert len(parts) > 10
     grams = decontam.grams(text)
     assert sum(len(p[0]) for p in parts) == sum(int((decontam.grams(index.chars[0]) == g).sum()) for g in grams)
+
+
+def test_short_items_and_items_without_an_id(spark):
+    rng = random.Random(17)
+    long = prose(rng, 30, LETTERS)
+    items = [(1, "What is the capital of Peru?"), (2, "pi=3."), (None, "abcde"), (None, long), (3, "?"), (4, "What is the  capital of PERU?")]
+    docs = [(0, "x what is\nthe capital of peru?\" y"), (1, "somewhat is the capital of peru?"), (2, "abcdef xabcde"), (3, "(abcde)"), (4, "2pi=3.1"), (5, "tau=2pi=3.1 pi=3.1"),
+            (6, prose(rng, 9) + " " + long), (7, None), (8, "clean"), (9, "well?")]
+    d, b = (spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id")))
+    got = sorted(((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in decontam.leaks(d, b).collect()), key=str)
+    start = len(plain(docs[6][1])) - len(plain(long))
+    want = [(0, 1, 0, 2, 30), (0, 4, 0, 2, 30), (0, 3, 0, 29, 30), (1, 3, 0, 31, 32), (3, None, 0, 1, 6), (5, 2, 0, 12, 17), (6, None, 0, start, start + len(plain(long))), (9, 3, 0, 4, 5)]
+    assert got == sorted(want, key=str)
+    for options in ({}, {"block_chars": 20}):
+        assert sorted(r.doc_id for r in decontam.without_leaks(d, b, **options).collect()) == [2, 4, 7, 8]
