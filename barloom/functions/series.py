@@ -11,7 +11,10 @@ Warm-up is NULL, never NaN, because Spark orders NaN above every number.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,6 +24,9 @@ from pyspark.sql import functions as F
 DECAY_NEGLIGIBLE = 40.0
 DEFAULT_EWM_BLOCK = 512
 MAX_WEIGHT_LOG10 = 280.0
+# Frames of this many rows are put together from pieces, but of no more than PIECES.
+WIDE = 32
+PIECES = 64
 
 
 def col(c: str | Column) -> Column:
@@ -75,26 +81,50 @@ class Series:
         seen = F.count(col(c)).over(self.upto) - F.count(col(c)).over(self.before(n))
         return seen == n
 
+    def _pieces(self, value: Callable[[WindowSpec], Column], n: int) -> list[tuple[int, Column]]:
+        """Sizes and values of the pieces that make up the last `n` rows, the latest first.
+
+        A piece is worked out once per row, over about the root of `n` rows, and fetched from earlier rows for the others. So a
+        frame costs twice the root of `n`, nothing is ever taken off, and a NaN leaves with its row.
+        """
+        size = max(math.isqrt(n), -(-n // PIECES)) if n >= WIDE else n
+        whole, rest = divmod(n, size)
+        last = [(size, value(self.last_n(size)))] * whole + ([(rest, value(self.last_n(rest)))] if rest else [])
+        return [(k, F.lag(v, i * size).over(self.w) if i else v) for i, (k, v) in enumerate(last)]
+
+    def _sum(self, c, n: int) -> Column:
+        return reduce(add, (v for _, v in self._pieces(F.sum(col(c)).over, n)))
+
     def mean(self, c, n: int) -> Column:
-        """Every frame is added up anew, so a NaN or a rounding error leaves with its row."""
-        return F.when(self._full(c, n), F.avg(col(c)).over(self.last_n(n)))
+        return F.when(self._full(c, n), self._sum(c, n) / n)
 
     def std(self, c, n: int) -> Column:
-        return F.when(self._full(c, n), F.stddev_samp(col(c)).over(self.last_n(n)))
+        if n < WIDE:
+            return F.when(self._full(c, n), F.stddev_samp(col(c)).over(self.last_n(n)))
+        # Squares about each piece's own mean, and of the means about that of all: no squares of whole values are taken off.
+        mean = self._sum(c, n) / n
+        means, spreads = (self._pieces(f(col(c)).over, n) for f in (F.avg, F.var_pop))
+        squares = (k * (spread + F.pow(m - mean, 2)) for (k, m), (_, spread) in zip(means, spreads, strict=True))
+        return F.when(self._full(c, n), F.sqrt(reduce(add, squares) / (n - 1)))
 
     def slope_pct(self, c, n: int, x) -> Column:
         """Least-squares slope per row as % of the window mean; 0 where the mean is 0."""
         # The places in a full window are known, so two sums give the fit: far cheaper per frame
         # than a regression aggregate. `x` is the row number in the series.
-        total = F.sum(col(c)).over(self.last_n(n))
-        weighted = F.sum(col(c) * col(x)).over(self.last_n(n))
+        total, weighted = self._sum(c, n), self._sum(col(c) * col(x), n)
         slope = (weighted - (col(x) - (n - 1) / 2) * total) / (n * (n * n - 1) / 12)
         pct = F.when(total == 0, F.lit(0.0)).otherwise(F.try_divide(slope * n, total) * 100)
         return F.when(self._full(c, n), pct)
 
     def rolling_max(self, c, n: int) -> Column:
         """Rolling maximum from the first row on (no warm-up)."""
-        return F.max(col(c)).over(self.last_n(n))
+        if n < WIDE:
+            return F.max(col(c)).over(self.last_n(n))
+        # Pieces may overlap here, so all have one size; those before the first row are NULL and do not count.
+        size = max(math.isqrt(n), -(-n // PIECES))
+        piece = F.max(col(c)).over(self.last_n(size))
+        back = [*range(size, n - size, size), n - size]
+        return F.greatest(piece, *(F.lag(piece, k).over(self.w) for k in back))
 
     # -- cumulative ---------------------------------------------------------------------------
     def running_max(self, c) -> Column:
@@ -206,7 +236,7 @@ def _with_ewm_group(df: DataFrame, series: Series, specs: dict[str, Ewm]) -> Dat
         first = (F.col(f"_n_{name}") == 1) if s.leading_nulls else (F.col("_pos") == 0)
         x = F.when(first, F.col(s.c)).otherwise(F.col(s.c) * s.alpha)
         weighted = F.sum(x * F.pow(F.lit(q), -place)).over(in_block)
-        local[f"_loc_{name}"] = weighted * F.pow(F.lit(q), place)
+        local[f"_loc_{name}"] = weighted * F.pow(F.lit(q), place) if q > 0 else x
     df = df.withColumns(local)
 
     carry = {
@@ -230,6 +260,29 @@ def _with_ewm_group(df: DataFrame, series: Series, specs: dict[str, Ewm]) -> Dat
     return df.withColumns(out).drop(*local, *carry, *(f"_n_{n}" for n in started))
 
 
+def with_ewm_of(df: DataFrame, series: Series, alpha: str, **inputs: str) -> DataFrame:
+    """One exponential average per keyword of the named input, with the rate in column `alpha`, alike on all rows of a series.
+
+    The plan has one size however many rates there are: each series gets a block that suits its own. Inputs are not NULL.
+    """
+    df = with_position(df, series)
+    q = 1 - F.col(alpha)
+    memory = F.when(q <= 0, 1).otherwise(F.ceil(-DECAY_NEGLIGIBLE / F.log(F.greatest(q, F.lit(1e-300)))))
+    df = df.withColumns({"_q": q, "_block": memory}).withColumns({"_at": F.col("_pos") % F.col("_block"), "_nth": F.floor(F.col("_pos") / F.col("_block"))})
+    in_series = Window.partitionBy(*series.keys).orderBy("_nth", series.order)
+    in_block = Window.partitionBy(*series.keys, "_nth").orderBy(series.order)
+    ended = F.col("_at") == F.col("_block") - 1
+    local = {}
+    for name, c in inputs.items():
+        x = F.when(F.col("_pos") == 0, F.col(c)).otherwise(F.col(c) * F.col(alpha))
+        local[f"_loc_{name}"] = F.sum(x * F.pow("_q", -F.col("_at"))).over(in_block) * F.pow("_q", F.col("_at"))
+    df = df.withColumns(local)
+    before = in_series.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({f"_car_{n}": F.last(F.when(ended, F.col(f"_loc_{n}")), ignorenulls=True).over(before) for n in inputs})
+    out = {n: F.col(f"_loc_{n}") + F.pow("_q", F.col("_at") + 1) * F.coalesce(f"_car_{n}", F.lit(0.0)) for n in inputs}
+    return df.withColumns(out).drop("_q", "_block", "_at", "_nth", *local, *(f"_car_{n}" for n in inputs))
+
+
 # Columns left on a frame while indicators are being added, so that the next one can use them:
 # the position, block numbers, and shared indicators.
 HELPERS = ("_pos", "_blk", "_ind_")

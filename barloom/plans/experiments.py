@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import json
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.series import Series, helper_columns
+from barloom.functions.series import Series, helper_columns, with_ewm_of, with_position
 from barloom.operators import ledger, metrics
 from barloom.operators.indicators import with_regime
 from barloom.operators.ledger import Rules
@@ -114,36 +116,126 @@ def stacked_signals(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _each(bars: DataFrame, name: str, values: list, kind: str) -> DataFrame:
+    """The bars once per value, which stands in column `name`."""
+    return bars.withColumn(name, F.explode(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")))
+
+
+def _runs_of(groups: list[list[dict]], kind: str) -> Column:
+    """For column _group, the runs (structs) of that group, as one constant."""
+    return F.get(F.from_json(F.lit(json.dumps(groups)), f"array<array<struct<{kind}>>>"), F.col("_group"))
+
+
+def _grouped(sets: list[dict], *names: str) -> tuple[list[tuple], list[list[dict]]]:
+    """The distinct values of the named parameters, and the sets that have each, numbered as given."""
+    groups: dict[tuple, list[dict]] = {}
+    for i, s in enumerate(sets):
+        groups.setdefault(tuple(s[n] for n in names), []).append({"run_id": i, **{k: v for k, v in s.items() if k not in names}})
+    return list(groups), list(groups.values())
+
+
+def rsi_grid_signals(bars: DataFrame, series: Series, sets: list[dict]) -> DataFrame:
+    """Signals of many RSI strategies. Windows and thresholds are columns, so the plan does not grow with the sets.
+
+    The RSI of each distinct window is worked out once per bar, on a row of its own; the row then yields one narrow row per run.
+    """
+    windows, runs = _grouped(sets, "window")
+    moves = with_position(bars.select(*series.keys, series.order, "open", "close", F.coalesce(series.diff("close"), F.lit(0.0)).alias("_move")), series)
+    df = _each(moves, "_spec", [{"_group": g, "n": n} for g, (n,) in enumerate(windows)], "struct<_group: int, n: int>").select("*", "_spec.*").drop("_spec")
+    df = df.withColumns({"_rate": 1.0 / F.col("n"), "_gain": F.greatest("_move", F.lit(0.0)), "_loss": F.greatest(-F.col("_move"), F.lit(0.0))})
+    df = with_ewm_of(df, series.within("_group"), "_rate", _ag="_gain", _al="_loss")
+    rsi = F.when(F.col("_al") == 0, F.lit(100.0)).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide("_ag", "_al")))
+    df = df.select(*series.keys, series.order, "open", "close", F.when(F.col("_pos") + 1 >= F.col("n"), rsi).alias("_rsi"), "_group")
+    df = df.select("*", F.inline(_runs_of(runs, "run_id: int, overbought: double, oversold: double")))
+    signal = F.when(F.col("_rsi") < F.col("oversold"), 1).when(F.col("_rsi") > F.col("overbought"), -1).otherwise(0)
+    return df.select("run_id", *series.keys, series.order, "open", "close", signal.alias("signal"))
+
+
+def macd_grid_signals(bars: DataFrame, series: Series, sets: list[dict]) -> DataFrame:
+    """Signals of many MACD crossings; spans are columns, so the plan does not grow with the sets."""
+    spans, runs = _grouped(sets, "fast", "slow", "signal")
+    df = with_position(bars.select(*series.keys, series.order, "open", "close"), series)
+    specs = [{"_group": g, "f": f, "s": s, "n": n} for g, (f, s, n) in enumerate(spans)]
+    df = _each(df, "_spec", specs, "struct<_group: int, f: int, s: int, n: int>").select("*", "_spec.*").drop("_spec")
+    df = df.withColumns({f"_a{c}": 2.0 / (F.col(c) + 1) for c in "fsn"})
+    by_set = series.within("_group")
+    df = with_ewm_of(with_ewm_of(df, by_set, "_af", _fast="close"), by_set, "_as", _slow="close")
+    df = with_ewm_of(df.withColumn("_line", F.col("_fast") - F.col("_slow")), by_set, "_an", _smooth="_line")
+    lead, tie = F.col("_line") - F.col("_smooth"), F.abs("close") * TIE
+    signal = F.when(lead > tie, 1).when(lead < -tie, -1).otherwise(0)
+    df = df.select(*series.keys, series.order, "open", "close", signal.alias("signal"), "_group")
+    return df.select("*", F.inline(_runs_of(runs, "run_id: int"))).drop("_group")
+
+
+GRIDS = {"SMA Crossover": sma_grid_signals, "RSI Reversion": rsi_grid_signals, "MACD": macd_grid_signals}
+
+
 def grid_signals(bars: DataFrame, series: Series, strategy: Strategy, sets: list[dict]) -> DataFrame:
     """Signals of any strategy for many parameter sets, keyed by run_id."""
-    if strategy is STRATEGIES["SMA Crossover"]:
-        return sma_grid_signals(bars, series, [{**strategy.params, **s} for s in sets])
+    for name, signals in GRIDS.items():
+        if strategy is STRATEGIES[name]:
+            return signals(bars, series, [{**strategy.params, **s} for s in sets])
     return stacked_signals(bars, series, "run_id", [(i, strategy, s) for i, s in enumerate(sets)])
 
 
+# Parameters that count bars.
+COUNTS = ("window", "short_window", "long_window", "fast", "slow", "signal", "rsi_window", "bb_window", "macd_fast", "macd_slow", "macd_signal",
+          "trend_window", "vol_window", "momentum_window", "trend_ma")
+
+
+def set_error(strategy: Strategy, params: dict) -> str | None:
+    """What is wrong with a parameter set; None if it can run. A window longer than the data is none: it gives no signal."""
+    for name, value in params.items():
+        if name not in strategy.params:
+            return f"{name} is no parameter"
+        number = isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value)
+        if name in COUNTS and not (number and value >= 1 and value == int(value)):
+            return f"{name} must be a whole number from 1 on, not {value!r}"
+        if not number:
+            return f"{name} must be a number, not {value!r}"
+    return None
+
+
 def grid_search(
     bars: DataFrame, series: Series, strategy: Strategy, grid: dict[str, list],
     rules: Rules = Rules(), metric: str = "sharpe_ratio",
 ) -> DataFrame:
-    """Metrics of every run: run_id, keys, parameters, `value` (the metric, infinity as 0) and
-    the fourteen metrics."""
+    """Metrics of every run: run_id, keys, parameters, `value` (the metric, infinity as 0), the
+    fourteen metrics and `error`.
+
+    A set that cannot run has one row per series all the same, with value 0, no other metric, and what is wrong with it.
+    Parameters of both numbers and texts come out as texts.
+    """
     sets = parameter_sets(grid)
-    signals = grid_signals(bars, series, strategy, sets)
-    by_run = series.within("run_id")
-    marks = fan_out(bars, series, "run_id", list(range(len(sets))))
-    trade_list, curve = backtest(signals, by_run, rules, marks=marks)
-    result = metrics.all_metrics(curve, trade_list, by_run)
+    errors = {i: e for i, s in enumerate(sets) if (e := set_error(strategy, s))}
+    good = [i for i in range(len(sets)) if i not in errors]
     # The parameter sets come from the caller's code, so their table is small by construction.
-    lookup = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in s.items())) for s in sets))
+    mixed = {k for k, values in grid.items() if len({isinstance(v, str) for v in values}) > 1}
+    lookup = F.array(*(F.struct(*(F.lit(str(v) if k in mixed else v).alias(k) for k, v in s.items())) for s in sets))
     params = F.element_at(lookup, F.col("run_id") + 1)
-    value = F.when(F.abs(metric) == float("inf"), 0.0).otherwise(F.col(metric))
-    return result.withColumn("value", value).withColumns({k: params[k] for k in grid})
+    parts = []
+    if good:
+        signals = grid_signals(bars, series, strategy, [sets[i] for i in good])
+        marks = fan_out(bars, series, "run_id", list(range(len(good))))
+        by_run = series.within("run_id")
+        trade_list, curve = backtest(signals, by_run, rules, marks=marks)
+        result = metrics.all_metrics(curve, trade_list, by_run)
+        value = F.when(F.abs(metric) == float("inf"), 0.0).otherwise(F.col(metric))
+        if errors:
+            result = result.withColumn("run_id", F.element_at(F.from_json(F.lit(json.dumps(good)), "array<int>"), F.col("run_id") + 1))
+        parts.append(result.withColumn("value", value).withColumn("error", F.lit(None).cast("string")))
+    if errors:
+        wrong = F.inline(F.from_json(F.lit(json.dumps([{"run_id": i, "error": e} for i, e in errors.items()])), "array<struct<run_id: int, error: string>>"))
+        parts.append(bars.select(*series.keys).distinct().select("*", wrong).withColumn("value", F.lit(0.0)))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return out.withColumns({k: params[k] for k in grid})
 
 
 def best_run(results: DataFrame, series: Series, params: list[str]) -> DataFrame:
-    """Highest value per series, the earlier run on ties; undefined values never win."""
+    """Highest value per series, the earlier run on ties; undefined values and sets with an error never win."""
     order = F.struct("value", (-F.col("run_id")).alias("first"))
-    defined = results.where("value IS NOT NULL AND NOT isnan(value)")
+    fine = "value IS NOT NULL AND NOT isnan(value)" + (" AND error IS NULL" if "error" in results.columns else "")
+    defined = results.where(fine)
     best = F.max_by(F.struct("run_id", *params, "value"), order)
     return defined.groupBy(*series.keys).agg(best.alias("b")).select(*series.keys, "b.*")
 

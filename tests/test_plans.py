@@ -234,3 +234,40 @@ def test_entry(spark):
 def test_price_text_in_the_trade_log(bars):
     trades, _ = experiments.backtest(SMA.signals(bars, S, short_window=5, long_window=20), S)
     assert views.trade_log(trades, S).first().price_text.startswith("$")
+
+
+def plan_size(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+
+def test_grids_have_one_plan_size(bars):
+    """Fifty sets are no larger a plan than five, and give what each set gives alone."""
+    for name, few, many in (
+        ("RSI Reversion", {"window": [5, 9, 14, 20, 30]}, {"window": [3, 5, 9, 14, 20, 21, 25, 28, 29, 30], "overbought": [60, 65, 70, 75, 80]}),
+        ("MACD", {"fast": [5, 8, 10, 12, 13]}, {"fast": [3, 5, 8, 10, 12], "slow": [20, 26, 30, 35, 40], "signal": [5, 9]}),
+    ):
+        strategy = STRATEGIES[name]
+        plans = [experiments.grid_signals(bars, S, strategy, experiments.parameter_sets(g)) for g in (few, many)]
+        assert plan_size(plans[0]) == plan_size(plans[1])
+        sets = experiments.parameter_sets(many)
+        assert len(sets) == 50
+        found = plans[1].toPandas()
+        for i in (0, 17, 49):
+            alone = ordered(strategy.signals(bars, S, **sets[i]).select("ticker", "date", "signal"))
+            mine = found[found.run_id == i].sort_values(["ticker", "date"], ignore_index=True)
+            assert len(mine) == len(alone) and (mine.signal.to_numpy() != alone.signal.to_numpy()).mean() < 1e-3
+
+
+def test_bad_sets_are_kept_but_never_best(bars):
+    grid = {"window": [0, -1, 2.5, "x", None, 14, 10_000], "oversold": [30]}
+    got = experiments.grid_search(bars, S, STRATEGIES["RSI Reversion"], grid)
+    rows = {(r.ticker, r.run_id): r for r in got.collect()}
+    assert len(rows) == 3 * 7
+    for (_, i), r in rows.items():
+        assert (r.error is not None) == (i < 5)
+        if r.error:
+            assert r.value == 0 and r.sharpe_ratio is None and "window" in r.error
+    assert rows["A", 6].total_trades == 0 and rows["A", 6].value == 0
+    assert all(r.run_id >= 5 for r in experiments.best_run(got, S, ["window"]).collect())
+    worst = experiments.grid_search(bars, S, STRATEGIES["MACD"], {"speed": [1]})
+    assert {r.error for r in worst.collect()} == {"speed is no parameter"} and experiments.best_run(worst, S, []).count() == 0

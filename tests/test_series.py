@@ -90,3 +90,42 @@ def test_cumulative(bars, bars_pdf):
 
 def test_helpers_are_dropped(bars):
     assert drop_helpers(with_ewm(bars, S, y=Ewm("close", 0.1))).columns == [*bars.columns, "y"]
+
+
+def test_wide_windows_are_those_of_pandas(bars, bars_pdf):
+    """Frames put together from pieces, with a gap and a NaN that leave with their rows."""
+    from pyspark.sql import functions as F
+
+    s = Series("ticker")
+    odd = (F.col("_pos") == 300) & (F.col("ticker") == "B")
+    df = bars.withColumn("_pos", s.position()).withColumn("hole", F.when(~odd, F.col("close"))).withColumn("nan", F.when(odd, float("nan")).otherwise(F.col("close")))
+    sizes = (31, 32, 100, 252, 100_000)
+    out = {}
+    for n in sizes:
+        out |= {f"mean{n}": s.mean("close", n), f"std{n}": s.std("close", n), f"max{n}": s.rolling_max("close", n), f"hole{n}": s.mean("hole", n), f"nan{n}": s.std("nan", n), f"slope{n}": s.slope_pct("close", n, "_pos")}
+    got = ordered(df.select("ticker", "date", "hole", *(c.alias(k) for k, c in out.items())))
+    by = bars_pdf.sort_values(["ticker", "date"], ignore_index=True).groupby("ticker")["close"]
+    hole = got.groupby("ticker")["hole"]
+    for n in sizes:
+        for name, want in ((f"mean{n}", by.rolling(n).mean()), (f"std{n}", by.rolling(n).std()), (f"max{n}", by.rolling(n, min_periods=1).max()), (f"hole{n}", hole.rolling(n).mean())):
+            np.testing.assert_allclose(got[name], want.reset_index(drop=True), rtol=1e-11, err_msg=name)
+        touched = hole.transform(lambda h, n=n: h.isna().rolling(n, min_periods=1).max()).astype(bool)
+        assert got[f"nan{n}"][touched].isna().all()
+        np.testing.assert_allclose(got[f"nan{n}"][~touched], got[f"std{n}"][~touched], rtol=1e-11)
+        fit = by.rolling(n).apply(lambda y: np.polyfit(np.arange(len(y)), y, 1)[0] / y.mean() * 100, raw=True).reset_index(drop=True)
+        np.testing.assert_allclose(got[f"slope{n}"], fit, rtol=1e-5, atol=1e-9)
+
+
+def test_rates_in_a_column_give_the_same_averages(bars):
+    from pyspark.sql import functions as F
+
+    from barloom.functions.series import with_ewm_of
+
+    s = Series("ticker")
+    rates = (1.0, 0.9, 2 / 13, 1 / 14, 2 / 1001)
+    each = bars.withColumn("a", F.explode(F.array(*(F.lit(a) for a in rates))))
+    got = with_ewm_of(each, s.within("a"), "a", y="close").select("a", "ticker", "date", "y").toPandas()
+    for a in rates:
+        want = ordered(with_ewm(bars, s, y=Ewm("close", a)).select("ticker", "date", "y"))
+        mine = got[got.a == a].sort_values(["ticker", "date"], ignore_index=True)
+        np.testing.assert_allclose(mine.y, want.y, rtol=1e-12)

@@ -4,7 +4,7 @@ Spark side uses windows and folds."""
 from __future__ import annotations
 
 from barloom.plans.bootstrap import SCENARIOS
-from verification.queries import FAST_MOMENTUM, GRID, HORIZON, SEED, SHORT_SMA, SIMS
+from verification.queries import FAST_MOMENTUM, GRID, HORIZON, RSI_GRID, SEED, SHORT_SMA, SIMS
 
 ORACLES: dict[str, str] = {}
 
@@ -586,6 +586,32 @@ GRID_CTES = (
 ORACLES["grid_search"] = sql(
     *GRID_CTES, select=f"SELECT run_id, ticker, short_window, long_window, {PERF_COLS}, {rs('value', 6)} FROM runs"
 )
+RSI_SETS = [(w, b, s) for w in RSI_GRID["window"] for b in RSI_GRID["overbought"] for s in RSI_GRID["oversold"]]
+ORACLES["grid_rsi"] = sql(
+    MOVES, BARS, EWM.split(",\newm AS")[0],
+    f"""rates AS (SELECT ticker, n, rn, gain AS ag, loss AS al FROM prep, (VALUES {', '.join(f'({w})' for w in RSI_GRID['window'])}) v(n) WHERE rn = 1
+  UNION ALL SELECT e.ticker, e.n, b.rn, (b.gain + (e.n - 1) * e.ag) / e.n, (b.loss + (e.n - 1) * e.al) / e.n
+  FROM rates e JOIN prep b ON b.ticker = e.ticker AND b.rn = e.rn + 1)""",
+    f"""sets(run_id, "window", overbought, oversold) AS (VALUES {', '.join(f'({i}::bigint, {w}::bigint, {b}::bigint, {o}::bigint)' for i, (w, b, o) in enumerate(RSI_SETS))})""",
+    """sig AS MATERIALIZED (SELECT run_id, ticker, date, open, close, CASE WHEN rsi < oversold THEN 1 WHEN rsi > overbought THEN -1 ELSE 0 END AS signal
+  FROM (SELECT b.ticker, b.date, b.open, b.close, e.n, CASE WHEN b.rn >= e.n THEN CASE WHEN e.al = 0 THEN 100 ELSE 100 - 100 / (1 + e.ag / e.al) END END AS rsi
+        FROM prep b JOIN rates e USING (ticker, rn)) JOIN sets ON n = "window")""",
+    led(keys="run_id, ticker"), fills("run_id, ticker"), CURVE2.format(keys="run_id, ticker"), metric_ctes("run_id, ticker"),
+    "runs AS MATERIALIZED (SELECT *, CASE WHEN isinf(sharpe_ratio) THEN 0 ELSE sharpe_ratio END AS value FROM perf JOIN sets USING (run_id))",
+    select=f'SELECT run_id, ticker, "window", overbought, oversold, {PERF_COLS}, {rs("value", 6)} FROM runs',
+)
+ORACLES["grid_errors"] = sql(
+    MOVES, BARS, sma_cte(5, 12, name="g4"), sma_cte(5, 1_000_000, name="g5"),
+    "sig AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i}::bigint AS run_id, ticker, date, open, close, signal FROM g{i}" for i in (4, 5)) + ")",
+    led(keys="run_id, ticker"), fills("run_id, ticker"), CURVE2.format(keys="run_id, ticker"), metric_ctes("run_id, ticker"),
+    "ran AS (SELECT ticker, run_id, CASE WHEN isinf(sharpe_ratio) THEN 0 ELSE sharpe_ratio END AS value, total_trades FROM perf)",
+    "best AS (SELECT ticker, run_id AS best FROM ran WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY round(value, 6) DESC, run_id) = 1)",
+    """sets(run_id, short_window, long_window, error) AS (VALUES (0::bigint, 0::bigint, -3::bigint, 'short_window must be a whole number from 1 on, not 0'),
+  (1, 0, 12, 'short_window must be a whole number from 1 on, not 0'), (2, 0, 1000000, 'short_window must be a whole number from 1 on, not 0'),
+  (3, 5, -3, 'long_window must be a whole number from 1 on, not -3'), (4, 5, 12, NULL), (5, 5, 1000000, NULL))""",
+    select=f"""SELECT b.ticker, s.run_id, s.short_window, s.long_window, {r('CASE WHEN error IS NULL THEN value ELSE 0 END', 6)} AS value, coalesce(total_trades, 0)::bigint AS total_trades, error, best
+FROM (SELECT DISTINCT ticker FROM bars) b CROSS JOIN sets s LEFT JOIN ran USING (ticker, run_id) JOIN best USING (ticker)""",
+)
 ORACLES["grid_best"] = sql(
     *GRID_CTES,
     select=f"""SELECT ticker, run_id, short_window, long_window, {rs('value', 6)} FROM runs

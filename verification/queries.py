@@ -23,6 +23,8 @@ from barloom.sources.sample_bars import TICKER
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # Parameters shared with the SQL side.
+RSI_GRID = {"window": [7, 14, 21], "overbought": [65, 75], "oversold": [25, 40]}
+BAD_GRID = {"short_window": [0, 5], "long_window": [-3, 12, 1_000_000]}
 GRID = {"short_window": [5, 10, 20], "long_window": [20, 50]}
 SHORT_SMA = {"short_window": 5, "long_window": 20}
 FAST_MOMENTUM = {"momentum_window": 60, "trend_ma": 50, "entry_rsi": 45}
@@ -549,7 +551,25 @@ def _runs(df: DataFrame) -> DataFrame:
 
 @query
 def grid_search(spark, d):
-    return _runs(_metrics(_grid(spark, d))).withColumn("value", F.round("value", 6))
+    return _runs(_metrics(_grid(spark, d).drop("error"))).withColumn("value", F.round("value", 6))
+
+
+def _rsi_grid(spark, d) -> DataFrame:
+    return experiments.grid_search(D.walk_bars(spark, d), TICKER, STRATEGIES["RSI Reversion"], RSI_GRID)
+
+
+@query
+def grid_rsi(spark, d):
+    df = _metrics(_rsi_grid(spark, d).drop("error")).withColumn("value", F.round("value", 6))
+    return df.withColumns({c: F.col(c).cast("bigint") for c in ("run_id", *RSI_GRID)})
+
+
+@query
+def grid_errors(spark, d):
+    """Sets that cannot run and one window beyond all data among those that can."""
+    df = experiments.grid_search(D.walk_bars(spark, d), TICKER, STRATEGIES["SMA Crossover"], BAD_GRID)
+    df = df.select("ticker", *(F.col(c).cast("bigint") for c in ("run_id", *BAD_GRID)), F.round("value", 6).alias("value"), F.coalesce("total_trades", F.lit(0)).cast("bigint").alias("total_trades"), "error")
+    return df.join(experiments.best_run(df, TICKER, []).select("ticker", F.col("run_id").alias("best")), "ticker")
 
 
 @query
