@@ -614,14 +614,8 @@ def compare_strategies(spark, d):
 
 
 # -- bootstrap --------------------------------------------------------------------------------------------------
-def _sector_moves(spark, d) -> DataFrame:
-    """Mean move of every fourth ticker per date; added up as whole numbers, so in any order alike."""
-    ret = F.sum(F.round(F.col("move") * 1e12).cast("bigint")) / F.count("*") / 1e12
-    return D.daily_moves(spark, d).groupBy((F.col("ticker") % 4).alias("ticker"), "date").agg(ret.alias("ret"))
-
-
 def _paths(spark, d, **options) -> DataFrame:
-    return bootstrap.simulate(_sector_moves(spark, d), TICKER, SIMS, HORIZON, seed=SEED, **options)
+    return bootstrap.simulate(D.daily_moves(spark, d).select("ticker", "date", F.col("move").alias("ret")), TICKER, SIMS, HORIZON, seed=SEED, **options)
 
 
 @query
