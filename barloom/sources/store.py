@@ -1,9 +1,9 @@
 """Parquet bar store: one table for all tickers and intervals.
 
-Layout: `interval=.../ticker=.../*.parquet`, sorted by date in each file, so ticker and interval
-prune directories and dates prune row groups. Daily and longer bars of a ticker are one file, since
-the calendar bounds them; finer bars are spread over one task and file per month, so that a large
-ticker is neither one task nor one file.
+Layout: `interval=.../ticker=.../piece=.../*.parquet`, sorted by date in each file. A piece is a month of
+fine bars, or a year of daily and longer ones, named by its first day: ticker, interval and dates prune
+directories, dates prune row groups, a large ticker is neither one task nor one file, and replacing
+bars rewrites only the pieces they fall into.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions import scalars as X
 from barloom.functions.series import Series
 from barloom.operators.clean import MIN_ROWS, clean
 from barloom.sources.bars import VALUES, date_range
@@ -29,6 +30,7 @@ STORED = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in VALUES]
     + [T.StructField("interval", T.StringType()), T.StructField("ticker", T.StringType())]
 )
+IN_PIECES = T.StructType([*STORED.fields, T.StructField("piece", T.DateType())])
 
 
 def prepare(bars: DataFrame, interval: str = "1d") -> DataFrame:
@@ -66,10 +68,10 @@ def absent_rows(stored: DataFrame, new: DataFrame) -> DataFrame:
     return first_per_date(new).join(stored.select(*KEYS), list(KEYS), "left_anti")
 
 
-def merged_rows(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Last write wins: stored and new rows of every series that the new rows touch."""
-    touched = new.select("interval", "ticker").distinct()
-    old = stored.join(touched, ["interval", "ticker"], "left_semi")
+def merged_rows(stored: DataFrame, new: DataFrame, *within: str) -> DataFrame:
+    """Last write wins: stored and new rows of every series, or of every `within`, that the new rows touch."""
+    keys = list(within or ("interval", "ticker"))
+    old = stored.join(new.select(*keys).distinct(), keys, "left_semi")
     both = old.withColumns({"batch": F.lit(0), "seq": F.lit(0).cast("bigint")}).unionByName(
         new.withColumn("batch", F.lit(1)), allowMissingColumns=True
     )
@@ -77,9 +79,12 @@ def merged_rows(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class BarStore:
-    def __init__(self, spark: SparkSession, path: str):
+    """`daily_pieces` is the piece of daily and longer bars: "year", or "month" where many single days are replaced."""
+
+    def __init__(self, spark: SparkSession, path: str, daily_pieces: str = "year"):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.daily_pieces = daily_pieces
 
     # -- files ------------------------------------------------------------------------------------
     def _fs(self, path: str):
@@ -87,36 +92,50 @@ class BarStore:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
+    def _in_pieces(self, rows: DataFrame) -> DataFrame:
+        day = F.col("date").cast("date")
+        daily = F.col("interval").isin(*DAILY)
+        return rows.withColumn("piece", F.when(daily, F.trunc(day, self.daily_pieces)).otherwise(F.trunc(day, "month")))
+
     def _write(self, rows: DataFrame, path: str, mode: str, **options) -> None:
-        piece = F.when(~F.col("interval").isin(*DAILY), F.date_trunc("month", "date"))
         (
-            rows.repartition("interval", "ticker", piece)
-            .sortWithinPartitions("interval", "ticker", "date")
-            .write.partitionBy("interval", "ticker")
+            rows.repartition("interval", "ticker", "piece")
+            .sortWithinPartitions("interval", "ticker", "piece", "date")
+            .write.partitionBy("interval", "ticker", "piece")
             .options(compression="snappy", **options)
             .mode(mode)
             .parquet(path)
         )
 
+    def clear(self) -> None:
+        fs, where = self._fs(self.path)
+        fs.delete(where, True)
+
     # -- reads --------------------------------------------------------------------------------------
-    def read(self) -> DataFrame:
+    def _table(self) -> DataFrame:
         fs, where = self._fs(self.path)
         if not fs.exists(where):
-            return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(self.path)
+            return self.spark.createDataFrame([], IN_PIECES)
+        return self.spark.read.schema(IN_PIECES).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self._table().drop("piece")
 
     def load(self, ticker=None, start=None, end=None, interval="1d", columns=None) -> DataFrame:
         """Rows of one interval with dates from start to end, both included. An unknown ticker
         gives no rows; a damaged file fails the job."""
-        df = self.read().where(F.col("interval") == interval)
+        df = self._table().where(F.col("interval") == interval)
         if ticker is not None:
             wanted = [ticker] if isinstance(ticker, str) else list(ticker)
             df = df.where(F.col("ticker").isin([t.strip().upper() for t in wanted]))
         if start is not None:
-            df = df.where(F.col("date") >= F.lit(start).cast("timestamp_ntz"))
+            at = F.lit(start).cast("timestamp_ntz")
+            # A piece that holds the start begins in its year, whatever the size of pieces.
+            df = df.where((F.col("date") >= at) & (F.col("piece") >= F.trunc(at.cast("date"), "year")))
         if end is not None:
-            df = df.where(F.col("date") <= F.lit(end).cast("timestamp_ntz"))
-        return df.select(*columns) if columns else df
+            at = F.lit(end).cast("timestamp_ntz")
+            df = df.where((F.col("date") <= at) & (F.col("piece") <= at.cast("date")))
+        return df.select(*columns) if columns else df.drop("piece")
 
     def date_range(self, interval: str = "1d") -> DataFrame:
         return date_range(self.read().where(F.col("interval") == interval), "ticker")
@@ -130,7 +149,7 @@ class BarStore:
     def statistics(self) -> DataFrame:
         """Rows, files and megabytes per ticker and interval, with a total row (NULL keys)."""
         per_file = (
-            self.read()
+            self._table()
             .select("interval", "ticker", "_metadata.file_path", "_metadata.file_size")
             .groupBy("interval", "ticker", "file_path", "file_size")
             .agg(F.count("*").alias("n"))
@@ -153,7 +172,7 @@ class BarStore:
         return self._append(absent_rows(self.read(), prepare(bars, interval)))
 
     def _append(self, rows: DataFrame) -> int:
-        rows = rows.persist()
+        rows = self._in_pieces(rows).persist()
         n = rows.count()
         if n:
             self._write(rows, self.path, "append")
@@ -163,15 +182,20 @@ class BarStore:
     def upsert(self, bars: DataFrame, interval: str = "1d") -> int:
         """Replace or add bars by date; the row count of the touched series afterwards.
 
-        The merged series are written beside the table first, because their own files are the
-        input, and then replace exactly the partitions they belong to.
+        The merged pieces are written beside the table first, because their own files are the
+        input, and then replace exactly the directories they belong to; pieces that no new bar
+        falls into are neither read nor written.
         """
         staging = f"{self.path}/_staging/{uuid.uuid4().hex}"
-        self._write(merged_rows(self.read(), prepare(bars, interval)), staging, "overwrite")
-        staged = self.spark.read.schema(STORED).parquet(staging)
-        n = staged.count()  # from the file footers
-        if n:
+        new = self._in_pieces(prepare(bars, interval))
+        merged = merged_rows(self._table(), new, "interval", "ticker", "piece")
+        self._write(self._in_pieces(merged), staging, "overwrite")
+        staged = self.spark.read.schema(IN_PIECES).parquet(staging)
+        n = 0
+        if not staged.isEmpty():
             self._write(staged, self.path, "overwrite", partitionOverwriteMode="dynamic")
+            touched = staged.select("interval", "ticker").distinct()
+            n = self.read().join(touched, ["interval", "ticker"], "left_semi").count()  # no data columns are read
         fs, where = self._fs(staging)
         fs.delete(where, True)
         return n
@@ -183,18 +207,56 @@ class BarStore:
         requests = requests.withColumn("ticker", F.upper(F.trim("ticker")))
         series = Series("interval", "ticker")
         gaps = missing_ranges(self.read().where(F.col("interval") == interval), requests)
-        new = prepare(source, interval)
-        found = new.join(gaps, "ticker").where(F.col("date").between(F.col("gap_start"), F.col("gap_end")))
-        known = found.where("NOT whole_request").drop("gap_start", "gap_end", "whole_request")
-        fresh = found.where("whole_request").drop("gap_start", "gap_end", "whole_request")
+        gaps = gaps.selectExpr("ticker", "gap_start AS start", "gap_end AS end", "whole_request")
+        found = bars_asked_for(prepare(source, interval), gaps, "whole_request")
+        known = found.where("NOT whole_request").drop("whole_request")
+        fresh = found.where("whole_request").drop("whole_request")
         fresh = clean(first_per_date(fresh), series, min_rows)
         stored = self.read().select(*KEYS)
         self._append(
             first_per_date(known).unionByName(fresh).join(stored, list(KEYS), "left_anti")
         )
-        asked = self.read().where(F.col("interval") == interval).join(requests, "ticker")
-        asked = asked.where(F.col("date").between(F.col("start"), F.col("end"))).drop("start", "end")
-        return clean(asked.dropDuplicates(list(KEYS)), series, min_rows)
+        return clean(bars_asked_for(self.load(interval=interval), requests), series, min_rows)
+
+
+def merged_requests(requests: DataFrame, *same: str) -> DataFrame:
+    """ticker, start, end of the stretches that requests cover together, none overlapping another.
+
+    `same` are columns that are equal in all requests of a ticker. Requests without a ticker or an end, and
+    those that end before they start, ask for nothing.
+    """
+    at = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")]
+    asked = requests.select("ticker", *same, *at).where("start <= end AND ticker IS NOT NULL")
+    asked = asked.groupBy("ticker", *same, "start").agg(F.max("end").alias("end"))  # repeats shrink before the shuffle
+    by = Window.partitionBy("ticker").orderBy("start")
+    reached = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = asked.withColumn("_new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    numbered = marked.withColumn("_stretch", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("ticker", *same, "_stretch").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_stretch")
+
+
+def bars_asked_for(bars: DataFrame, requests: DataFrame, *same: str) -> DataFrame:
+    """The bars inside at least one request (ticker, start, end), each once, with the columns `same` of its ticker's requests.
+
+    The requests are merged and cut by month. Their ends are sorted among the bars of the month, and a
+    bar is taken while a request is open: one pass, no pairs of bars and requests, and no task holds more than a
+    month of a ticker. Months that nobody asks for are left out before the shuffle where the requests are few.
+    """
+    covered = merged_requests(requests, *same)
+    first, last = (F.trunc(F.col(c).cast("date"), "month") for c in ("start", "end"))
+    months = covered.withColumn("_month", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))))
+    opened = F.struct(F.greatest("start", F.col("_month").cast("timestamp_ntz")).alias("_at"), F.lit(0).alias("_edge"), F.lit(1).alias("_open"))
+    closed = F.struct(F.col("end").alias("_at"), F.lit(2).alias("_edge"), F.lit(-1).alias("_open"))
+    # A stretch that goes on in the next month is open to the end of this one.
+    ends = F.when(F.col("_month") == last, F.array(opened, closed)).otherwise(F.array(opened))
+    edges = months.select("ticker", *same, "_month", F.inline(ends))
+    rows = bars.withColumns({
+        "_month": F.trunc(F.col("date").cast("date"), "month"), "_at": F.col("date").cast("timestamp_ntz"), "_edge": F.lit(1)})
+    rows = rows.join(months.select("ticker", "_month").distinct(), ["ticker", "_month"], "left_semi")
+    sofar = Window.partitionBy("ticker", "_month").orderBy("_at", "_edge").rowsBetween(Window.unboundedPreceding, 0)
+    swept = rows.unionByName(edges, allowMissingColumns=True).withColumns(
+        {"_open": F.sum("_open").over(sofar), **{c: F.max(c).over(sofar) for c in same}})
+    return swept.where("_edge = 1 AND _open > 0").select(*bars.columns, *same)
 
 
 def bars_inside(stored: DataFrame, requests: DataFrame) -> DataFrame:
@@ -251,6 +313,21 @@ def missing_ranges(stored: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def interior_gaps(stored: DataFrame) -> DataFrame:
+    """ticker, gap_start, gap_end, days: each run of weekdays without a bar between two bars of a ticker.
+
+    The first and last weekday missing, and their number. Weekends are no gaps, nor is what lies before
+    the first or after the last bar. Finer bars count by their day.
+    """
+    days = stored.select("ticker", F.col("date").cast("date").alias("date")).where("date IS NOT NULL").distinct()
+    after = F.lead("date").over(Window.partitionBy("ticker").orderBy("date"))
+    pair = days.withColumn("_next", after).select("ticker", F.date_add("date", 1).alias("a"), F.date_sub("_next", 1).alias("b"))
+    found = pair.withColumn("days", X.business_days("a", "b")).where("days > 0")
+    monday = F.date_add("a", F.when(F.weekday("a") > 4, 7 - F.weekday("a")).otherwise(0))
+    friday = F.date_sub("b", F.greatest(F.weekday("b") - 4, F.lit(0)))
+    return found.select("ticker", monday.alias("gap_start"), friday.alias("gap_end"), "days")
+
+
 def failed_tickers(requests: DataFrame, bars: DataFrame) -> DataFrame:
     """Requested tickers for which no bars came."""
     return requests.select("ticker").distinct().join(bars.select("ticker"), "ticker", "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom import Series
 from barloom.operators import clean
 from barloom.sources import bars as B
-from barloom.sources.store import BarStore, failed_tickers, missing_ranges
+from barloom.sources.store import BarStore, bars_asked_for, failed_tickers, interior_gaps, merged_requests, missing_ranges
 
 S = Series("ticker")
 
@@ -194,3 +194,56 @@ def test_filling_long_series_takes_linear_time(spark):
     got = clean.fill_gaps(bars, Series("ticker")).orderBy("date").select("close").limit(20).collect()
     assert [r.close for r in got[:15]] == [10.0] * 11 + [11.0, 12.0, 13.0, 13.0]
     assert time.perf_counter() - began < 60
+
+
+def test_upsert_rewrites_only_the_pieces_it_touches(spark, tmp_path):
+    rows = [("A", i, float(i)) for i in range(0, 3650, 5)] + [("B", 0, 1.0)]
+    for pieces in ("month", "year"):
+        path = tmp_path / pieces
+        store = BarStore(spark, str(path), daily_pieces=pieces)
+        store.insert_absent(small(spark, rows))
+        before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+        assert store.upsert(small(spark, [("A", 1000, -1.0), ("A", 1001, -2.0)])) == 731
+        after = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+        changed = {f.parent.name for f in before.items() ^ after.items() for f in [f[0]]}
+        assert changed == {f"piece={day(1000).strftime('%Y-%m-01' if pieces == 'month' else '%Y-01-01')}"}
+        got = closes(store, ticker="A")
+        assert got == {**{("A", day(i)): c for t, i, c in rows if t == "A"}, ("A", day(1000)): -1.0, ("A", day(1001)): -2.0}
+        some = closes(store, ticker="A", start=str(day(700)), end=str(day(1200)))
+        assert some == {k: c for k, c in got.items() if day(700) <= k[1] <= day(1200)}
+        plan = store.load("A", start=str(day(700)), end=str(day(1200)))._jdf.queryExecution().executedPlan().toString()
+        assert "piece" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_bars_asked_for_are_given_once(spark):
+    import random
+
+    rng = random.Random(5)
+    bars = small(spark, [(t, i, float(i)) for t in "AB" for i in range(0, 400, 3)]).drop("seq").withColumn("extra", F.lit("x"))
+    asked = [(rng.choice("ABC"), a, a + rng.randrange(-5, 60)) for a in (rng.randrange(-30, 420) for _ in range(25))]
+    asked += asked[:3]
+    given = requests(spark, *asked).unionByName(spark.createDataFrame([("A", None, day(9)), (None, day(0), day(9))], "ticker string, start date, end date"))
+    want = sorted((t, day(i)) for t in "AB" for i in range(0, 400, 3) if any(u == t and a <= i <= b for u, a, b in asked))
+    got = bars_asked_for(bars, given)
+    assert got.columns == bars.columns
+    assert sorted((r.ticker, r.date) for r in got.collect()) == want
+    merged = sorted((r.ticker, r.start, r.end) for r in merged_requests(given).collect())
+    assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(merged, merged[1:]))
+    assert bars_asked_for(bars.limit(0), given).count() == 0 and bars_asked_for(bars, given.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Join Inner" not in plan
+
+
+def test_hour_bars_are_asked_for_to_the_minute(spark):
+    bars = spark.range(24 * 70).selectExpr("'A' AS ticker", "TIMESTAMP_NTZ'2022-01-30 00:00:00' + make_interval(0, 0, 0, 0, CAST(id AS int)) AS date")
+    asked = spark.sql("SELECT 'A' AS ticker, TIMESTAMP_NTZ'2022-01-31 22:00:00' AS start, TIMESTAMP_NTZ'2022-03-01 01:30:00' AS end")
+    got = [r.date for r in bars_asked_for(bars, asked).orderBy("date").collect()]
+    assert (got[0], got[-1], len(got)) == (dt.datetime(2022, 1, 31, 22), dt.datetime(2022, 3, 1, 1), 28 * 24 + 4)
+
+
+def test_interior_gaps(spark):
+    dates = ["2022-01-03", "2022-01-04", "2022-01-07", "2022-01-10", "2022-01-14", "2022-01-18", "2022-01-22", "2022-01-31"]
+    bars = spark.createDataFrame([("A", d) for d in [*dates, dates[0]]] + [("B", "2022-01-03"), ("B", None)], "ticker string, date string")
+    got = sorted((str(r.gap_start), str(r.gap_end), r.days) for r in interior_gaps(bars).collect())
+    assert got == [("2022-01-05", "2022-01-06", 2), ("2022-01-11", "2022-01-13", 3), ("2022-01-17", "2022-01-17", 1),
+                   ("2022-01-19", "2022-01-21", 3), ("2022-01-24", "2022-01-28", 5)]

@@ -3,6 +3,7 @@ Spark side uses windows and folds."""
 
 from __future__ import annotations
 
+from barloom.operators.clean import MIN_ROWS
 from barloom.plans.bootstrap import SCENARIOS
 from verification.queries import FAST_MOMENTUM, GRID, HORIZON, RSI_GRID, SEED, SHORT_SMA, SIMS
 
@@ -103,19 +104,50 @@ REQUESTS = """requests AS (
          CAST(DATE '1998-01-01' + (c_custkey % 7 * 500)::int AS DATE) AS e FROM customer
   UNION ALL SELECT c_custkey::varchar, DATE '1996-03-01', CAST(DATE '1996-03-01' + (c_custkey % 3)::int AS DATE) FROM customer)"""
 DAYS = """days AS (SELECT DISTINCT l_suppkey::varchar AS ticker, CAST(l_shipdate AS DATE) AS date FROM lineitem)"""
-ORACLES["bars_gaps"] = sql(
-    REQUESTS,
-    DAYS,
-    """cover AS (SELECT ticker, min(date) AS a, max(date) AS b FROM days GROUP BY 1),
-state AS (
-  SELECT q.*, a, b, (SELECT count(*) FROM days d WHERE d.ticker = q.ticker AND d.date BETWEEN q.s AND q.e) AS hits
-  FROM requests q LEFT JOIN cover USING (ticker)),
-todo AS (SELECT *, a <= s AND b >= e - 3 AND hits > 10 AS served FROM state)""",
-    select="""SELECT ticker, s AS gap_start, e AS gap_end, true AS whole_request FROM todo WHERE a IS NULL
-UNION ALL SELECT ticker, s, e, false FROM todo WHERE a IS NOT NULL AND hits = 0
-UNION ALL SELECT ticker, s, CAST(a - 1 AS DATE), false FROM todo WHERE NOT served AND hits > 0 AND s < a
-UNION ALL SELECT ticker, CAST(b + 1 AS DATE), e, false FROM todo WHERE NOT served AND hits > 0 AND e > b""",
-)
+
+
+def todo(days: str, name: str) -> str:
+    """What is stored of each request, by a table of ticker and date."""
+    return f"""{name} AS MATERIALIZED (SELECT *, a <= s AND b >= e - 3 AND hits > 10 AS served FROM (
+  SELECT q.ticker, q.s, q.e, a, b, count(d.date) AS hits
+  FROM requests q LEFT JOIN (SELECT ticker, min(date) AS a, max(date) AS b FROM {days} GROUP BY 1) USING (ticker)
+  LEFT JOIN {days} d ON d.ticker = q.ticker AND d.date BETWEEN q.s AND q.e
+  GROUP BY ALL))"""
+
+
+def missing(name: str) -> str:
+    return f"""SELECT ticker, s AS gap_start, e AS gap_end, true AS whole_request FROM {name} WHERE a IS NULL
+UNION ALL SELECT ticker, s, e, false FROM {name} WHERE a IS NOT NULL AND hits = 0
+UNION ALL SELECT ticker, s, CAST(a - 1 AS DATE), false FROM {name} WHERE NOT served AND hits > 0 AND s < a
+UNION ALL SELECT ticker, CAST(b + 1 AS DATE), e, false FROM {name} WHERE NOT served AND hits > 0 AND e > b"""
+
+
+ORACLES["bars_gaps"] = sql(REQUESTS, DAYS, todo("days", "todo"), select=missing("todo"))
+# The bars need no cleaning but for the least number of rows.
+INGEST = (
+    RAW, REQUESTS,
+    "source AS MATERIALIZED (SELECT * REPLACE (ticker::varchar AS ticker) FROM raw)",
+    "before AS MATERIALIZED (SELECT * FROM source WHERE ticker::int % 2 = 0 AND date < DATE '1996-07-01')",
+    todo("before", "todo"),
+    f"gaps AS ({missing('todo')})",
+    "found AS (SELECT DISTINCT r.*, whole_request FROM source r JOIN gaps g ON r.ticker = g.ticker AND r.date BETWEEN gap_start AND gap_end)",
+    f"""after AS MATERIALIZED (
+  SELECT * FROM before UNION SELECT * EXCLUDE whole_request FROM found
+  WHERE NOT whole_request OR ticker IN (SELECT ticker FROM found GROUP BY 1 HAVING count(*) >= {MIN_ROWS}))""",
+)
+ORACLES["store_ingest_rows"] = sql(
+    *INGEST,
+    select=f"""SELECT ticker, date, open, high, low, close, volume::double AS volume FROM after f
+WHERE EXISTS (SELECT 1 FROM requests q WHERE q.ticker = f.ticker AND f.date BETWEEN s AND e)
+QUALIFY count(*) OVER (PARTITION BY ticker) >= {MIN_ROWS}""",
+)
+ORACLES["store_ingest_gaps"] = sql(*INGEST, todo("after", "still"), select=missing("still"))
+ORACLES["bars_interior_gaps"] = """
+WITH days AS (SELECT DISTINCT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date FROM lineitem),
+pairs AS (SELECT ticker, date, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS next FROM days)
+SELECT ticker, CAST(min(day) AS DATE) AS gap_start, CAST(max(day) AS DATE) AS gap_end, count(*) AS days
+FROM (SELECT ticker, date, unnest(generate_series(date + 1, next - 1, INTERVAL 1 DAY)) AS day FROM pairs)
+WHERE isodow(day) < 6 GROUP BY ticker, date"""
 ORACLES["ingest_failed_tickers"] = """
 SELECT c_custkey::varchar AS ticker FROM customer
 WHERE c_custkey NOT IN (SELECT l_suppkey FROM lineitem)"""
@@ -140,6 +172,12 @@ ORACLES["bars_upsert_last"] = sql(
 WHERE ticker IN (SELECT ticker FROM arrivals WHERE l_returnflag <> 'A')
 QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY l_returnflag = 'A', seq DESC) = 1""",
 )
+ORACLES["store_upsert"] = sql(
+    ARRIVALS,
+    select=f"""SELECT {COLS} FROM arrivals
+QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY l_returnflag = 'A',
+  CASE WHEN l_returnflag = 'A' THEN seq ELSE -seq END) = 1""",
+)
 ORACLES["benchmark_returns"] = sql(
     MOVES, BARS,
     select=f"SELECT ticker, date, {r(f'close / lag(close) OVER ({W}) - 1', 8)} AS ret FROM bars QUALIFY row_number() OVER ({W}) > 1",

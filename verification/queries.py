@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -86,22 +86,29 @@ def bars_range_scan(spark, d):
     )
 
 
-def _bar_store(spark, d) -> store.BarStore:
-    """A store of its own under the session's warehouse, filled with all bars."""
-    made = store.BarStore(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/bars_{uuid.uuid4().hex}")
-    made.insert_absent(D.raw_bars(spark, d))
+def _store(spark, d, name: str) -> store.BarStore:
+    """An empty store of that name under the session's warehouse, one for each folder of tables."""
+    made = store.BarStore(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}_{zlib.crc32(d.encode())}")
+    made.clear()
     return made
 
 
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("date", F.col("date").cast("date"))
+
+
 @query
 def store_range_scan(spark, d):
-    df = _bar_store(spark, d).load(start="1996-01-01", end="1998-12-31", columns=["ticker", "date", "close", "volume"])
-    return df.withColumn("date", F.col("date").cast("date"))
+    made = _store(spark, d, "range_scan")
+    made.insert_absent(D.raw_bars(spark, d))
+    return _dated(made.load(start="1996-01-01", end="1998-12-31", columns=["ticker", "date", "close", "volume"]))
 
 
 @query
 def store_statistics(spark, d):
-    return _bar_store(spark, d).statistics().select("ticker", "interval", F.col("rows").alias("n_rows"))
+    made = _store(spark, d, "statistics")
+    made.insert_absent(D.raw_bars(spark, d))
+    return made.statistics().select("ticker", "interval", F.col("rows").alias("n_rows"))
 
 
 @query
@@ -133,6 +140,29 @@ def bars_gaps(spark, d):
     return store.missing_ranges(bars, _requests(spark, d))
 
 
+@query
+def bars_interior_gaps(spark, d):
+    return store.interior_gaps(D.daily_moves(spark, d).select("ticker", "date"))
+
+
+def _ingested(spark, d, name: str) -> tuple[store.BarStore, DataFrame]:
+    """A store with every other ticker up to the middle of 1996, after all requests were ingested; and what they got."""
+    made, bars = _store(spark, d, name), D.raw_bars(spark, d)
+    made.insert_absent(bars.where("ticker % 2 = 0 AND date < DATE'1996-07-01'"))
+    return made, made.ingest(bars, _requests(spark, d))
+
+
+@query
+def store_ingest_rows(spark, d):
+    return _dated(_ingested(spark, d, "ingest_rows")[1]).select("ticker", "date", "open", "high", "low", "close", "volume")
+
+
+@query
+def store_ingest_gaps(spark, d):
+    made, _ = _ingested(spark, d, "ingest_gaps")
+    return store.missing_ranges(made.load(), _requests(spark, d))
+
+
 @query
 def ingest_failed_tickers(spark, d):
     bars = D.daily_moves(spark, d).select(F.col("ticker").cast("string").alias("ticker"))
@@ -172,6 +202,14 @@ def bars_upsert_last(spark, d):
     return store.merged_rows(*_stored_and_new(spark, d))
 
 
+@query
+def store_upsert(spark, d):
+    rows, made = _line_bars(spark, d), _store(spark, d, "upsert")
+    made.insert_absent(rows.where("l_returnflag = 'A'"))
+    made.upsert(rows.where("l_returnflag <> 'A'"))
+    return _dated(made.read())
+
+
 @query
 def benchmark_returns(spark, d):
     return rounded(B.returns(D.walk_bars(spark, d), TICKER), ret=8)
