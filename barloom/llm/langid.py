@@ -29,7 +29,7 @@ from barloom.llm.common import batch, small_batches, stored, texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WINDOW = 48
-# Bound of the rows a classifier is fitted on.
+# Bound of the rows a classifier is fitted on, but for half as many again that rare languages may add.
 TRAIN_ROWS = 20_000
 # Strength of the pieces' overall shares in each language's probabilities.
 PRIOR = 2000.0
@@ -155,18 +155,28 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return small_batches(labelled.select("lang", "text")).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def shares(counts: dict[str, int], rows: int) -> dict[str, float]:
+    """The share of each language's rows to fit on: its part of `rows`, but as many as half of an equal part where it has them.
+
+    In all at most one and a half times `rows`, and no language is lost for being rare.
+    """
+    total = sum(counts.values())
+    return {lang: min(1.0, max(rows / total, rows / (2 * len(counts) * n))) for lang, n in counts.items()}
+
+
 def fit(labelled: DataFrame, path: str, rows: int = TRAIN_ROWS, rounds: int = 2, seed: int = 7) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the probability of each piece in each, by `rounds` of expectation-maximisation.
 
-    Fitted on about `rows` of the rows of `labelled` (lang, text), sampled evenly; null labels are left out.
-    What comes to the driver is one number per language and piece of the vocabulary.
+    Fitted on about `rows` of the rows of `labelled` (lang, text), sampled by `shares` of each language; null labels are
+    left out. What comes to the driver, and is sent to tasks, is one number per language and piece of the vocabulary:
+    bounded by the number of languages.
     """
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    total = known.count()
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     size = len(_pieces(path)[1])
-    if not total:
+    if not counts:
         return [], np.zeros((0, size))
-    counted = stored(word_counts(known.sample(min(1.0, rows / total), seed)))
+    counted = stored(word_counts(known.sampleBy("lang", shares(counts, rows), seed)))
     langs: list[str] = sorted(r[0] for r in counted.select("lang").distinct().collect())
     schema = pa.schema([("lang", pa.string()), ("piece", pa.int64()), ("n", pa.float64())])
     model = np.full((len(langs), size), 1.0 / size)

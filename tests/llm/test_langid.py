@@ -68,6 +68,24 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in mine) >= 0.97 * len(mine)
 
 
+def test_rare_languages_are_kept():
+    for rows in (10, 200, 20_000):
+        for counts in ({"a": 1}, {"a": 10_000_000, "b": 500, "c": 1}, {"a": 50, "b": 60}, {str(k): 10**k for k in range(8)}):
+            taken = {lang: n * langid.shares(counts, rows)[lang] for lang, n in counts.items()}
+            assert all(taken[lang] >= min(n, rows / (2 * len(counts))) - 1e-6 for lang, n in counts.items())
+            assert sum(taken.values()) <= 1.5 * rows + 1e-6
+            assert sum(counts.values()) > rows or taken == pytest.approx(counts)
+
+
+def test_a_rare_language_is_learned(spark):
+    often = spark.range(30_000).selectExpr("concat('the of and ', id % 90) AS text", "'en' AS lang")
+    rare = spark.range(20).selectExpr("'zyxq vuzz qixx' AS text", "'zz' AS lang")
+    langs, model = langid.fit(often.unionByName(rare), PATH, rows=100)
+    assert langs == ["en", "zz"]
+    docs = spark.createDataFrame([(1, "qixx zyxq"), (2, "and the of")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, langs, model, PATH).collect()} == {1: "zz", 2: "en"}
+
+
 def test_only_the_text_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     # Labels of held-out rows, ids beyond their remainder and sources say nothing.
