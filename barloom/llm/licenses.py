@@ -143,7 +143,7 @@ def verified(diagonal: DataFrame, key: list[str]) -> DataFrame:
     each = diagonal.withColumn("part", F.sum(new).over(by)).withColumn("whole", F.col("base") & (F.size("inside") == F.col("grams")))
     each = each.withColumn("place", F.explode_outer(F.when(~F.col("base"), F.col("inside"))))
     each = each.withColumn("at", F.col("diagonal") + F.col("place")).withColumn(
-        "scaled", F.floor(F.col("at") * SCALE / longest(F.col("grams"))))
+        "scaled", F.floor(F.col("at").cast("long") * SCALE / longest(F.col("grams"))))
     inside = Window.partitionBy(*key, "template", "part")
     back = F.col("place") < F.lag("place").over(inside.orderBy("at", "place"))
     span = inside.orderBy("scaled").rangeBetween(-SCALE, Window.currentRow)

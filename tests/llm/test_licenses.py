@@ -103,7 +103,7 @@ def test_templates_like_brute_force(spark):
                 t = [w for i in range(0, len(t), 3) for w in [*t[i : i + 3], "filler"]]
             parts += [" ".join(t), prose(rng, rng.choice([0, 3, 30]))]
         texts.append(" ".join(parts))
-    texts += ["free software foundation " * 300, " ".join(all_of), "", None]
+    texts += [prose(rng, 5000) + " " + all_of[1] + " " + prose(rng, 5000), "free software foundation " * 300, " ".join(all_of), "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in licenses.scan(df).collect():
         labels, spans = brute_templates(texts[r.doc_id], licenses.TEMPLATES)
