@@ -130,3 +130,34 @@ def running_in_bins(
     }
     drop = ["_bin", *(f"_{p}_{n}" for n in totals for p in "cl")]
     return local.join(carry, [*keys, "_bin"]).withColumns(out).drop(*drop)
+
+
+def underwater(df: DataFrame, series: Series, value: str = "close", bin: str = "day", order: tuple[str, ...] = ()) -> DataFrame:
+    """keys, max_drawdown, duration: the deepest relative fall of `value` below its peak so far, and the most
+    consecutive rows below it. Rows without a value do not count; a series never below its peak has 0 rows.
+
+    Each bin has a summary (its fall, its rows, those before its first peak, the longest stretch after one), and the
+    summaries of a series are joined in order, so that no task holds a series.
+    """
+    order = order or (series.order,)
+    keys = list(series.keys)
+    known = df.where(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, series.order, *order, value]))
+    rows = running_in_bins(known, series, bin, order, _peak=("max", value)).withColumn("_bin", F.date_trunc(bin, series.order))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order)
+    at_peak = F.when(F.col(value) >= F.col("_peak"), F.col("_row"))
+    rows = rows.withColumn("_row", F.row_number().over(inside))
+    rows = rows.withColumn("_top", F.max(at_peak).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    per_bin = rows.groupBy(*keys, "_bin").agg(
+        F.min(F.try_divide(F.col(value) - F.col("_peak"), "_peak")).alias("_fall"),
+        F.count("*").alias("_rows"),
+        F.max(F.when(F.col("_top").isNull(), F.col("_row"))).alias("_head"),
+        F.max(F.col("_row") - F.col("_top")).alias("_longest"),
+        F.max("_top").alias("_last"),
+    )
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    summed = per_bin.withColumn("_done", F.coalesce(F.sum("_rows").over(before), zero))
+    summed = summed.withColumn("_since", F.last(F.col("_done") + F.col("_last"), ignorenulls=True).over(before))
+    joined = F.col("_done") - F.coalesce("_since", zero) + F.col("_head")
+    run = F.greatest(F.coalesce("_longest", zero), F.coalesce(joined, zero))
+    return summed.groupBy(*keys).agg(F.min("_fall").alias("max_drawdown"), F.max(run).cast("bigint").alias("duration"))

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import ordered
 from pyspark.sql import functions as F
@@ -71,3 +72,29 @@ def test_running_totals_in_bins(minutes, bin):
     )
     names = ["ticker", "date", "peak", "low", "n", "grown", "known"]
     assert ordered(got.select(names)).equals(ordered(want.select(names)))
+
+
+def test_underwater(spark):
+    rng = np.random.default_rng(3)
+    start = pd.Timestamp("2022-01-03")
+    frames = []
+    for name, steps in (("walk", rng.normal(0, 1, 900)), ("falls", -np.ones(300)), ("rises", np.ones(50)), ("flat", np.zeros(50))):
+        close = 2000 + np.cumsum(np.round(steps))
+        frames.append(pd.DataFrame({"ticker": name, "date": start + pd.to_timedelta(np.arange(len(close)) * 5, unit="h"), "close": close}))
+    pdf = pd.concat(frames, ignore_index=True)
+    want = {}
+    for name, one in pdf.groupby("ticker"):
+        longest = run = 0
+        peak, fall = -np.inf, 0.0
+        for c in one["close"]:
+            peak = max(peak, c)
+            run = run + 1 if c < peak else 0
+            longest, fall = max(longest, run), min(fall, (c - peak) / peak)
+        want[name] = (round(fall, 12), longest)
+    holes = pdf.assign(close=None, date=pdf["date"] + pd.Timedelta(hours=1))
+    df = spark.createDataFrame(pd.concat([pdf, holes]).astype({"close": float})).withColumn("close", F.nanvl("close", F.lit(None)))
+    for bin in ("day", "month"):
+        got = {r.ticker: (round(r.max_drawdown, 12), r.duration) for r in blocks.underwater(df.repartition(5), Series("ticker"), bin=bin).collect()}
+        assert got == want
+    assert want["falls"][1] == 299 and want["rises"] == want["flat"] == (0.0, 0)
+    assert blocks.underwater(df.limit(0), Series("ticker")).count() == 0

@@ -831,3 +831,10 @@ ORACLES["intraday_drawdown"] = sql(
     f"peaks AS (SELECT *, max(close) OVER {UPTO} AS peak, sum(volume) OVER {UPTO} AS traded FROM bars)",
     select=f"SELECT ticker, date, {rs('peak', 6)}, {r('CASE WHEN peak <> 0 THEN (close - peak) / peak END', 8)} AS drawdown, traded, {r('close', 6)} AS last_close FROM peaks",
 )
+ORACLES["intraday_underwater"] = sql(
+    HOURS,
+    f"peaks AS (SELECT *, max(close) OVER {UPTO} AS peak FROM bars)",
+    f"runs AS (SELECT *, count(*) FILTER (close >= peak) OVER {UPTO} AS run FROM peaks)",
+    "lengths AS (SELECT ticker, run, min(CASE WHEN peak <> 0 THEN (close - peak) / peak END) AS fall, count(*) - 1 AS n FROM runs GROUP BY 1, 2)",
+    select=f"SELECT ticker, {r('min(fall)', 8)} AS max_drawdown, max(n) AS duration FROM lengths GROUP BY 1",
+)

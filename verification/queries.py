@@ -766,3 +766,8 @@ def intraday_drawdown(spark, d):
     fall = F.try_divide(F.col("close") - F.col("peak"), F.col("peak"))
     df = df.select("ticker", "date", "peak", fall.alias("drawdown"), "traded", "last_close")
     return rounded(df, peak=6, drawdown=8, last_close=6)
+
+
+@query
+def intraday_underwater(spark, d):
+    return rounded(blocks.underwater(D.hourly_bars(spark, d), TICKER), max_drawdown=8)
