@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import batch, stored, texts, unused
+from barloom.llm.common import batch, stored, texts, unused, written
 from barloom.llm.components import components
 
 SHINGLE = 4
@@ -30,6 +30,10 @@ SLAB = 50_000
 LARGE = 64
 QUERIES = 32
 PAIRS = 1 << 17
+# A bucket of more fingerprints than about this is dealt out in chunks of about as many, each pair of chunks apart.
+BLOCK = 4096
+# Fingerprints of a chunk that are counted to tell how large a bucket is.
+COUNTED = 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -194,13 +198,39 @@ def links_of_buckets(bucket: np.ndarray, values: np.ndarray, radius: int) -> tup
     return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shared: int = SHARED) -> DataFrame:
-    """u, v: links between the distinct values of fp that connect all that are within the radius.
+def chunks_of_large(distinct: DataFrame, keys, block: int) -> DataFrame:
+    """bucket, chunks: into how many chunks each bucket of more than about `block` values of fp is cut, two or more.
+
+    Sizes are told from the values whose hash falls into one of block / COUNTED shares. They decide where pairs
+    are compared, never whether.
+    """
+    share = max(1, block // COUNTED)
+    some = distinct.where(F.pmod(F.xxhash64(F.lit("share"), "fp"), F.lit(share)) == 0)
+    sizes = some.select(F.explode(keys).alias("bucket")).groupBy("bucket").agg((F.count("*") * share).alias("size"))
+    return sizes.where(F.col("size") > block).select("bucket", F.ceil(F.col("size") / block).alias("chunks"))
+
+
+def dealt_out(distinct: DataFrame, radius: int, shared: int, block: int) -> DataFrame:
+    """bucket, fp: every two values of fp that agree on all bits of `shared` blocks share a bucket, of bounded size.
 
-    A bucket holds distinct fingerprints that agree on all bits of `shared` blocks, never copies.
+    A large bucket becomes one bucket for each pair of its chunks, so no task holds or compares it whole.
     """
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius, shared))))
-    dealt = distinct.select(F.explode(keys).alias("bucket"), "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
+    large = written(chunks_of_large(distinct, keys, block))  # a table, so that Spark knows whether it is small enough to broadcast
+    all_ = distinct.select(F.explode(keys).alias("bucket"), "fp").join(large, "bucket", "left")
+    own = F.pmod(F.xxhash64(F.lit("chunk"), "fp"), F.col("chunks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: c != own)
+    pairs = F.transform(others, lambda c: F.xxhash64("bucket", F.least(c, own), F.greatest(c, own)))
+    return all_.select(F.explode(F.when(F.col("chunks").isNull(), F.array("bucket")).otherwise(pairs)).alias("bucket"), "fp")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+    """u, v: links between the distinct values of fp that connect all that are within the radius.
+
+    A bucket holds distinct fingerprints that agree on all bits of `shared` blocks, never copies; `block` bounds it to
+    about twice as many.
+    """
+    dealt = dealt_out(distinct, radius, shared, block).repartition("bucket").sortWithinPartitions("bucket", "fp")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
@@ -225,7 +255,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shared: int = SHARED) -> Da
 def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The fingerprints of all rows, and fp, root of each distinct one; fingerprints of one component share a root."""
     fps = stored(fingerprints(docs, id_col, text_col))
-    distinct = fps.select("fp").distinct()
+    distinct = stored(fps.select("fp").distinct())
     found = components(links(distinct, radius))
     member = distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return fps, member
