@@ -210,12 +210,15 @@ def chunks_of_large(distinct: DataFrame, keys, block: int) -> DataFrame:
     return sizes.where(F.col("size") > block).select("bucket", F.ceil(F.col("size") / block).alias("chunks"))
 
 
-def dealt_out(distinct: DataFrame, radius: int, shared: int, block: int) -> DataFrame:
-    """bucket, fp: every two values of fp that agree on all bits of `shared` blocks share a bucket, of bounded size.
+def dealt_out(distinct: DataFrame, radius: int, shared: int, block: int | None) -> DataFrame:
+    """bucket, fp: every two values of fp that agree on all bits of `shared` blocks share a bucket.
 
-    A large bucket becomes one bucket for each pair of its chunks, so no task holds or compares it whole.
+    A large bucket becomes one bucket for each pair of its chunks, so no task holds or compares it whole; with no
+    `block` buckets stay whole.
     """
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(radius, shared))))
+    if block is None:
+        return distinct.select(F.explode(keys).alias("bucket"), "fp")
     large = written(chunks_of_large(distinct, keys, block))  # a table, so that Spark knows whether it is small enough to broadcast
     all_ = distinct.select(F.explode(keys).alias("bucket"), "fp").join(large, "bucket", "left")
     own = F.pmod(F.xxhash64(F.lit("chunk"), "fp"), F.col("chunks"))
@@ -224,7 +227,7 @@ def dealt_out(distinct: DataFrame, radius: int, shared: int, block: int) -> Data
     return all_.select(F.explode(F.when(F.col("chunks").isNull(), F.array("bucket")).otherwise(pairs)).alias("bucket"), "fp")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, shared: int = SHARED, block: int | None = BLOCK) -> DataFrame:
     """u, v: links between the distinct values of fp that connect all that are within the radius.
 
     A bucket holds distinct fingerprints that agree on all bits of `shared` blocks, never copies; `block` bounds it to

@@ -126,13 +126,13 @@ def test_large_buckets_in_blocks(spark):
     values = {rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(40, 64), rng.randint(0, 8))) for _ in range(1500)}
     signed = {int(np.uint64(v).astype(np.int64)): v for v in values}
     distinct = spark.createDataFrame([(v,) for v in signed], "fp long").repartition(4)
-    for block in (64, 100, 400):
+    for block in (64, 400):
         sizes = [r["count"] for r in simhash.dealt_out(distinct, 4, 3, block).groupBy("bucket").count().collect()]
         assert max(sizes) <= 3 * block
         found = [(signed[r.u], signed[r.v]) for r in simhash.links(distinct, block=block).collect()]
         assert all((a ^ b).bit_count() <= 8 for a, b in found)
         assert joined(signed.values(), found) == brute_roots(signed.values(), 4)
-    assert max(r["count"] for r in simhash.dealt_out(distinct, 4, 3, 10_000).groupBy("bucket").count().collect()) > 350
+    assert max(r["count"] for r in simhash.dealt_out(distinct, 4, 3, None).groupBy("bucket").count().collect()) > 350
 
 
 def joined(nodes, links):
