@@ -1,16 +1,18 @@
 """Parquet bar store: one table for all tickers and intervals.
 
-Layout: `interval=.../ticker=.../piece=.../*.parquet`, sorted by date in each file. A piece is a month of
-fine bars, or a year of daily and longer ones, named by its first day: ticker, interval and dates prune
-directories, dates prune row groups, a large ticker is neither one task nor one file, and replacing
-bars rewrites only the pieces they fall into.
+Layout: `interval=.../bucket=.../piece=.../*.parquet`, sorted by ticker and date in each file. Tickers share
+a fixed number of buckets by their checksum, so the number of files and folders does not grow with that of
+tickers. A piece is a month of fine bars, or a year of daily and longer ones, named by its first day: ticker,
+interval and dates prune directories and row groups, a large ticker is neither one task nor one file, and
+replacing bars rewrites only the pieces of buckets they fall into.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +24,8 @@ from barloom.sources.bars import VALUES, date_range
 KEYS = ("interval", "ticker", "date")
 # Intervals of a day or more.
 DAILY = ("1d", "5d", "1wk", "1mo", "3mo")
+# Fixed for all stores: a ticker's bucket must be the same in every write.
+BUCKETS = 64
 TAIL_TOLERANCE_DAYS = 3
 MIN_HIT_ROWS = 10
 
@@ -30,7 +34,8 @@ STORED = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in VALUES]
     + [T.StructField("interval", T.StringType()), T.StructField("ticker", T.StringType())]
 )
-IN_PIECES = T.StructType([*STORED.fields, T.StructField("piece", T.DateType())])
+IN_PIECES = T.StructType([*STORED.fields, T.StructField("bucket", T.IntegerType()), T.StructField("piece", T.DateType())])
+PLACE = ("interval", "bucket", "piece")
 
 
 def prepare(bars: DataFrame, interval: str = "1d") -> DataFrame:
@@ -65,13 +70,21 @@ def last_per_date(rows: DataFrame, *order: str) -> DataFrame:
 
 def absent_rows(stored: DataFrame, new: DataFrame) -> DataFrame:
     """First write wins: the new rows whose key is not stored yet."""
-    return first_per_date(new).join(stored.select(*KEYS), list(KEYS), "left_anti")
+    return _unstored(first_per_date(new), stored)
+
+
+def _unstored(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    # Sorted keys shrink so well in a shuffle that millions of them would be sent through the driver.
+    return rows.join(stored.select(*KEYS).hint("merge"), list(KEYS), "left_anti")
 
 
 def merged_rows(stored: DataFrame, new: DataFrame, *within: str) -> DataFrame:
     """Last write wins: stored and new rows of every series, or of every `within`, that the new rows touch."""
     keys = list(within or ("interval", "ticker"))
-    old = stored.join(new.select(*keys).distinct(), keys, "left_semi")
+    touched = new.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    # A file of `within` is replaced whole, so rows without a date stay with it; no series is without a name.
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) if within else F.col(k) == F.col(f"_{k}") for k in keys]
+    old = stored.join(touched, same, "left_semi")
     both = old.withColumns({"batch": F.lit(0), "seq": F.lit(0).cast("bigint")}).unionByName(
         new.withColumn("batch", F.lit(1)), allowMissingColumns=True
     )
@@ -95,17 +108,22 @@ class BarStore:
     def _in_pieces(self, rows: DataFrame) -> DataFrame:
         day = F.col("date").cast("date")
         daily = F.col("interval").isin(*DAILY)
-        return rows.withColumn("piece", F.when(daily, F.trunc(day, self.daily_pieces)).otherwise(F.trunc(day, "month")))
+        piece = F.when(daily, F.trunc(day, self.daily_pieces)).otherwise(F.trunc(day, "month"))
+        bucket = F.coalesce(F.crc32(F.col("ticker").cast("binary")) % BUCKETS, F.lit(0)).cast("int")
+        return rows.withColumns({"bucket": bucket, "piece": piece})
 
-    def _write(self, rows: DataFrame, path: str, mode: str, **options) -> None:
+    def _write(self, rows: DataFrame, path: str, mode: str, **options) -> int:
+        """Write rows that are in one task per place, or in whole files of one; their number."""
+        written = Observation()
         (
-            rows.repartition("interval", "ticker", "piece")
-            .sortWithinPartitions("interval", "ticker", "piece", "date")
-            .write.partitionBy("interval", "ticker", "piece")
+            rows.sortWithinPartitions(*PLACE, "ticker", "date")
+            .observe(written, F.count(F.lit(1)).alias("n"))
+            .write.partitionBy(*PLACE)
             .options(compression="snappy", **options)
             .mode(mode)
             .parquet(path)
         )
+        return written.get["n"]
 
     def clear(self) -> None:
         fs, where = self._fs(self.path)
@@ -119,7 +137,7 @@ class BarStore:
         return self.spark.read.schema(IN_PIECES).parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self._table().drop("piece")
+        return self._table().select(*STORED.fieldNames())
 
     def load(self, ticker=None, start=None, end=None, interval="1d", columns=None) -> DataFrame:
         """Rows of one interval with dates from start to end, both included. An unknown ticker
@@ -127,7 +145,9 @@ class BarStore:
         df = self._table().where(F.col("interval") == interval)
         if ticker is not None:
             wanted = [ticker] if isinstance(ticker, str) else list(ticker)
-            df = df.where(F.col("ticker").isin([t.strip().upper() for t in wanted]))
+            wanted = [t.strip().upper() for t in wanted]
+            held = sorted({zlib.crc32(t.encode()) % BUCKETS for t in wanted})
+            df = df.where(F.col("ticker").isin(wanted) & F.col("bucket").isin(held))
         if start is not None:
             at = F.lit(start).cast("timestamp_ntz")
             # A piece that holds the start begins in its year, whatever the size of pieces.
@@ -135,7 +155,7 @@ class BarStore:
         if end is not None:
             at = F.lit(end).cast("timestamp_ntz")
             df = df.where((F.col("date") <= at) & (F.col("piece") <= at.cast("date")))
-        return df.select(*columns) if columns else df.drop("piece")
+        return df.select(*(columns or STORED.fieldNames()))
 
     def date_range(self, interval: str = "1d") -> DataFrame:
         return date_range(self.read().where(F.col("interval") == interval), "ticker")
@@ -147,19 +167,24 @@ class BarStore:
         return self.read().select("ticker").distinct().orderBy("ticker")
 
     def statistics(self) -> DataFrame:
-        """Rows, files and megabytes per ticker and interval, with a total row (NULL keys)."""
+        """Rows, files and megabytes per ticker and interval, with a total row (NULL keys).
+
+        Tickers share files: each counts the files that hold its rows, and its part of their size by rows.
+        """
         per_file = (
             self._table()
             .select("interval", "ticker", "_metadata.file_path", "_metadata.file_size")
             .groupBy("interval", "ticker", "file_path", "file_size")
             .agg(F.count("*").alias("n"))
         )
+        whole = F.sum("n").over(Window.partitionBy("file_path"))
         return (
-            per_file.rollup("ticker", "interval")
+            per_file.withColumn("part", F.col("file_size") * F.col("n") / whole)
+            .rollup("ticker", "interval")
             .agg(
                 F.sum("n").alias("rows"),
-                F.count("*").alias("files"),
-                F.round(F.sum("file_size") / (1024 * 1024), 2).alias("size_mb"),
+                F.count_distinct("file_path").alias("files"),
+                F.round(F.sum("part") / (1024 * 1024), 2).alias("size_mb"),
                 F.grouping_id().alias("level"),
             )
             .where(F.col("level").isin(0, 3))
@@ -172,30 +197,26 @@ class BarStore:
         return self._append(absent_rows(self.read(), prepare(bars, interval)))
 
     def _append(self, rows: DataFrame) -> int:
-        rows = self._in_pieces(rows).persist()
-        n = rows.count()
-        if n:
-            self._write(rows, self.path, "append")
-        rows.unpersist()
-        return n
+        return self._write(self._in_pieces(rows).repartition(*PLACE), self.path, "append")
 
     def upsert(self, bars: DataFrame, interval: str = "1d") -> int:
         """Replace or add bars by date; the row count of the touched series afterwards.
 
         The merged pieces are written beside the table first, because their own files are the
         input, and then replace exactly the directories they belong to; pieces that no new bar
-        falls into are neither read nor written.
+        falls into, in any ticker of their bucket, are neither read nor written.
         """
         staging = f"{self.path}/_staging/{uuid.uuid4().hex}"
         new = self._in_pieces(prepare(bars, interval))
-        merged = merged_rows(self._table(), new, "interval", "ticker", "piece")
-        self._write(self._in_pieces(merged), staging, "overwrite")
-        staged = self.spark.read.schema(IN_PIECES).parquet(staging)
-        n = 0
-        if not staged.isEmpty():
+        # Other tickers share the pieces that are replaced, so the touched ones are noted apart.
+        new.select("interval", "ticker").distinct().write.parquet(f"{staging}/touched")
+        merged = merged_rows(self._table(), new, *PLACE)
+        n = self._write(self._in_pieces(merged).repartition(*PLACE), f"{staging}/rows", "overwrite")
+        if n:
+            staged = self.spark.read.schema(IN_PIECES).parquet(f"{staging}/rows")
             self._write(staged, self.path, "overwrite", partitionOverwriteMode="dynamic")
-            touched = staged.select("interval", "ticker").distinct()
-            n = self.read().join(touched, ["interval", "ticker"], "left_semi").count()  # no data columns are read
+            touched = self.spark.read.parquet(f"{staging}/touched")
+            n = self.read().join(touched, ["interval", "ticker"], "left_semi").count()  # no other columns are read
         fs, where = self._fs(staging)
         fs.delete(where, True)
         return n
@@ -212,10 +233,7 @@ class BarStore:
         known = found.where("NOT whole_request").drop("whole_request")
         fresh = found.where("whole_request").drop("whole_request")
         fresh = clean(first_per_date(fresh), series, min_rows)
-        stored = self.read().select(*KEYS)
-        self._append(
-            first_per_date(known).unionByName(fresh).join(stored, list(KEYS), "left_anti")
-        )
+        self._append(_unstored(first_per_date(known).unionByName(fresh), self.read()))
         return clean(bars_asked_for(self.load(interval=interval), requests), series, min_rows)
 
 
@@ -240,7 +258,7 @@ def bars_asked_for(bars: DataFrame, requests: DataFrame, *same: str) -> DataFram
 
     The requests are merged and cut by month. Their ends are sorted among the bars of the month, and a
     bar is taken while a request is open: one pass, no pairs of bars and requests, and no task holds more than a
-    month of a ticker. Months that nobody asks for are left out before the shuffle where the requests are few.
+    month of a ticker. Bars before the first or after the last day asked for are left out before the shuffle where the tickers are few.
     """
     covered = merged_requests(requests, *same)
     first, last = (F.trunc(F.col(c).cast("date"), "month") for c in ("start", "end"))
@@ -252,7 +270,9 @@ def bars_asked_for(bars: DataFrame, requests: DataFrame, *same: str) -> DataFram
     edges = months.select("ticker", *same, "_month", F.inline(ends))
     rows = bars.withColumns({
         "_month": F.trunc(F.col("date").cast("date"), "month"), "_at": F.col("date").cast("timestamp_ntz"), "_edge": F.lit(1)})
-    rows = rows.join(months.select("ticker", "_month").distinct(), ["ticker", "_month"], "left_semi")
+    # The first and last day of a ticker suffice here: a row for each month would be sent through the driver.
+    spans = covered.groupBy(F.col("ticker").alias("_ticker")).agg(F.min("start").alias("_start"), F.max("end").alias("_end"))
+    rows = rows.join(spans, (F.col("ticker") == F.col("_ticker")) & F.col("_at").between(F.col("_start"), F.col("_end")), "left_semi")
     sofar = Window.partitionBy("ticker", "_month").orderBy("_at", "_edge").rowsBetween(Window.unboundedPreceding, 0)
     swept = rows.unionByName(edges, allowMissingColumns=True).withColumns(
         {"_open": F.sum("_open").over(sofar), **{c: F.max(c).over(sofar) for c in same}})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom import Series
 from barloom.operators import clean
 from barloom.sources import bars as B
-from barloom.sources.store import BarStore, bars_asked_for, failed_tickers, interior_gaps, merged_requests, missing_ranges
+from barloom.sources.store import BarStore, absent_rows, bars_asked_for, failed_tickers, first_per_date, interior_gaps, merged_requests, missing_ranges, prepare
 
 S = Series("ticker")
 
@@ -247,3 +247,32 @@ def test_interior_gaps(spark):
     got = sorted((str(r.gap_start), str(r.gap_end), r.days) for r in interior_gaps(bars).collect())
     assert got == [("2022-01-05", "2022-01-06", 2), ("2022-01-11", "2022-01-13", 3), ("2022-01-17", "2022-01-17", 1),
                    ("2022-01-19", "2022-01-21", 3), ("2022-01-24", "2022-01-28", 5)]
+
+
+def test_files_do_not_grow_with_tickers(spark, tmp_path):
+    store = store_of(spark, tmp_path)
+    names = [f"T{i}" for i in range(300)]
+    assert store.insert_absent(small(spark, [(t, i, 1.0 + i) for t in names for i in (0, 1)] + [(None, 0, 5.0)])) == 601
+    assert len(list(tmp_path.rglob("*.parquet"))) <= 64
+    assert closes(store, ticker=["t7", "none"]) == {("T7", day(0)): 1.0, ("T7", day(1)): 2.0}
+    stats = {r.ticker: r for r in store.statistics().where("interval IS NOT NULL").collect()}
+    assert {stats[t].rows for t in names} == {2} and stats[None].rows == 1
+    total = store.statistics().where("interval IS NULL").first()
+    assert total.rows == 601 and total.files == len(list(tmp_path.rglob("*.parquet")))
+    # Tickers of one bucket keep their rows when another's are replaced, and are not counted.
+    assert store.upsert(small(spark, [("T7", 1, 9.0), ("NEW", 0, 4.0)])) == 3
+    got = closes(store, ticker=[*names, "NEW"])
+    assert len(got) == 601 and got["T7", day(1)] == 9.0 and got["T8", day(1)] == 2.0
+    assert store.read().count() == 602 and not list(tmp_path.rglob("_staging/*"))
+
+
+def test_keys_and_months_are_not_sent_through_the_driver(spark):
+    bars = small(spark, [("A", i, 1.0) for i in range(40)])
+    rows = absent_rows(first_per_date(prepare(bars.where("date < '2022-01-20'"))), prepare(bars))
+    assert rows.count() == 40 - 17
+    assert "SortMergeJoin" in rows._jdf.queryExecution().executedPlan().toString()
+    asked = spark.sql("SELECT 'A' AS ticker, DATE'1950-01-01' AS start, DATE'2022-01-10' AS end")
+    got = bars_asked_for(bars, asked)
+    assert got.count() == 8
+    semi = got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")[1].split("Generate")[0]
+    assert "_month" not in semi.split("\n")[0] and "min(start" in semi
