@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -177,6 +178,37 @@ def test_fan_and_summary(rets):
     assert row.prob_profit == pytest.approx((final > 50).mean())
 
 
+@pytest.mark.parametrize("method", ["bootstrap", "parametric"])
+def test_paths_grow_by_the_same_draws_for_any_keys_and_shares(spark, monkeypatch, method):
+    keyed = Series("a", "b")
+    names = [("x", "y"), ("", None), (None, None), ("Zürich " * 12, "z")]
+    rows = [(a, b, dt.date(2022, 1, 1) + dt.timedelta(days=i), (i * 7 % 11 - 5) / 100) for a, b in names for i in range(15)]
+    df = spark.createDataFrame(rows, "a string, b string, date date, ret double")
+    draws = bootstrap.sampled_returns(df, keyed, 12, 120, method, seed=5)
+    draws = ordered(bootstrap.inject_stress(draws, keyed, 120, 0.5, seed=5).na.fill("-"), "a", "b", "sim", "day")
+    draws["value"] = (1 + draws["ret"]).groupby([draws["a"], draws["b"], draws["sim"]]).cumprod() * 3
+    assert len(draws) == 4 * 12 * 120 and draws["stressed"].nunique() == 2
+    for at_once in (10_000, 5):
+        monkeypatch.setattr(bootstrap, "SIMS_AT_ONCE", at_once)
+        args = dict(method=method, initial=3.0, stress_probability=0.5, seed=5)
+        got = ordered(bootstrap.simulate(df, keyed, 12, 120, **args).na.fill("-"), "a", "b", "sim", "day")
+        assert got[["a", "b", "sim", "day", "stressed"]].equals(draws[["a", "b", "sim", "day", "stressed"]])
+        assert np.allclose(got["value"], draws["value"], rtol=1e-12, atol=0)
+        days = ordered(bootstrap.fan(bootstrap.simulated_days(df, keyed, 12, 120, **args), "a", "b").na.fill("-"), "a", "b", "day")
+        wide = got.groupby(["a", "b", "day"])["value"]
+        for name, share in bootstrap.FAN.items():
+            assert np.allclose(days[name], wide.quantile(share).to_numpy(), rtol=1e-12, atol=0)
+
+
+def test_values_of_a_day_stay_in_a_row(rets):
+    """No value of a path is shuffled for the fan, and the summary takes only the last day apart."""
+    fan = bootstrap.fan(bootstrap.simulated_days(rets, S, 50, 10), "ticker")._jdf.queryExecution()
+    plan = fan.executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0]
+    last = bootstrap.terminal_summary(bootstrap.simulate(rets, S, 50, 10), 10, "ticker")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in last and last.index("Generate") < last.index("Filter") < last.index("MapInArrow")
+
+
 def test_scenarios(spark):
     assert [len(p[3]) for p in bootstrap.SCENARIOS.values()] == [60, 23, 40]
     assert bootstrap.scenario_days(spark).count() == 123
