@@ -210,7 +210,10 @@ class BarStore:
         new = self._in_pieces(prepare(bars, interval))
         # Other tickers share the pieces that are replaced, so the touched ones are noted apart.
         new.select("interval", "ticker").distinct().write.parquet(f"{staging}/touched")
-        merged = merged_rows(self._table(), new, *PLACE)
+        # Rows without a ticker are no series: those of a piece are replaced together.
+        unnamed = new.where("ticker IS NULL").select(F.col("interval").alias("_interval"), F.col("piece").alias("_piece")).distinct()
+        replaced = F.col("ticker").isNull() & (F.col("interval") == F.col("_interval")) & F.col("piece").eqNullSafe(F.col("_piece"))
+        merged = merged_rows(self._table().join(unnamed, replaced, "left_anti"), new, *PLACE)
         n = self._write(self._in_pieces(merged).repartition(*PLACE), f"{staging}/rows", "overwrite")
         if n:
             staged = self.spark.read.schema(IN_PIECES).parquet(f"{staging}/rows")

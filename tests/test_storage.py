@@ -276,3 +276,10 @@ def test_keys_and_months_are_not_sent_through_the_driver(spark):
     assert got.count() == 8
     semi = got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")[1].split("Generate")[0]
     assert "_month" not in semi.split("\n")[0] and "min(start" in semi
+
+
+def test_upsert_replaces_the_nameless_rows_of_a_piece_together(spark, tmp_path):
+    store = store_of(spark, tmp_path)
+    store.insert_absent(small(spark, [(None, 0, 1.0), (None, 400, 2.0), ("A", 0, 3.0)]))
+    store.upsert(small(spark, [(None, 1, 4.0), ("A", 1, 5.0)]))
+    assert sorted(r.close for r in store.load().collect()) == [2.0, 3.0, 4.0, 5.0]
