@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from barloom import Series
 from barloom.functions import scalars as X
-from barloom.operators import metrics
+from barloom.functions import series
+from barloom.operators import ledger, metrics
 from barloom.operators.ledger import Rules
-from barloom.operators.signals import STRATEGIES
+from barloom.operators.signals import STRATEGIES, multi_factor
 from barloom.operators.stops import StopRules
 from barloom.plans import bootstrap, experiments, views
+from barloom.sources import sample_bars
 
 S = Series("ticker")
 SMA = STRATEGIES["SMA Crossover"]
@@ -303,3 +305,46 @@ def test_bad_sets_are_kept_but_never_best(bars):
     assert all(r.run_id >= 5 for r in experiments.best_run(got, S, ["window"]).collect())
     worst = experiments.grid_search(bars, S, STRATEGIES["MACD"], {"speed": [1]})
     assert {r.error for r in worst.collect()} == {"speed is no parameter"} and experiments.best_run(worst, S, []).count() == 0
+
+
+# -- tasks --------------------------------------------------------------------------------------------
+def most_rows(df) -> int:
+    """Rows of the largest partition."""
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_a_task_gets_a_bounded_number_of_bars(spark, tmp_path, monkeypatch):
+    """Left to adaptive execution, small rows of any number share a task up to 64 MB."""
+    lines = spark.range(20_000).select(
+        (F.col("id") % 200).alias("l_suppkey"), F.expr("timestamp_seconds(id div 200 * 86400)").alias("l_shipdate"),
+        F.lit(0.05).alias("l_discount"), F.lit(0.04).alias("l_tax"), F.lit(1.0).alias("l_quantity"),
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = sample_bars.walk_bars(spark, str(tmp_path)).orderBy("ticker", "date").collect()
+    monkeypatch.setattr(series, "ROWS_PER_TASK", 500)
+    bars = sample_bars.walk_bars(spark, str(tmp_path))
+    assert bars.orderBy("ticker", "date").collect() == whole and len(whole) == 20_000
+    assert most_rows(bars) < 2_500 and most_rows(multi_factor(bars, S)) < 2_500
+
+
+def test_a_task_gets_a_bounded_number_of_rows_of_the_curves(spark, monkeypatch):
+    bars = spark.range(4_000).select(
+        (F.col("id") % 80).alias("ticker"), F.expr("date_from_unix_date(int(id div 80))").alias("date"),
+        *((100.0 + F.sin("id")).alias(c) for c in ("open", "high", "low", "close")), F.lit(1.0).alias("volume"),
+    )
+    grid = {"short_window": [2, 3], "long_window": [5, 7]}
+    runs, names = S.within("run_id"), ("SMA Crossover", "RSI Reversion", "Buy & Hold")
+    whole = experiments.grid_search(bars, S, SMA, grid).orderBy("ticker", "run_id").collect()
+    seen, equity = [], ledger.equity
+
+    def kept(*args, **kwargs):
+        seen.append(equity(*args, **kwargs))
+        return seen[-1]
+
+    monkeypatch.setattr(ledger, "equity", kept)
+    monkeypatch.setattr(ledger, "CURVE_ROWS", 400)
+    got = experiments.grid_search(bars, S, SMA, grid).orderBy("ticker", "run_id").collect()
+    assert [r.asDict() for r in got] == [r.asDict() for r in whole] and len(got) == 4 * 80
+    curve = experiments.compare_strategies(bars, S, names=names)["equity"]
+    assert curve.count() == 3 * 4_000 and set(runs.keys) <= set(seen[0].columns)
+    assert len(seen) == 2 and all(most_rows(df) < 2_000 for df in seen)
