@@ -74,6 +74,22 @@ def test_running_totals_in_bins(minutes, bin):
     assert ordered(got.select(names)).equals(ordered(want.select(names)))
 
 
+@pytest.mark.parametrize("bin", ["day", "month"])
+def test_low_of_a_running_sum_in_bins(spark, bin):
+    rng = np.random.default_rng(5)
+    rows = [(t, pd.Timestamp("2022-01-03").date() + pd.Timedelta(days=i // 4), i, int(d)) for t in "ab" for i, d in enumerate(rng.choice([-1, 1], 200))]
+    df = spark.createDataFrame(rows, "ticker string, date date, seq int, delta int").repartition(3)
+    want = []
+    for t in "ab":
+        was = low = 0
+        for _, day, i, d in (r for r in rows if r[0] == t):
+            low, was = min(low, was), was + d
+            want.append((t, i, was, low))
+    got = blocks.running_in_bins(df, Series("ticker"), bin, ("date", "seq"), total=("sum", "delta"), low=("low", "delta"))
+    assert sorted(tuple(r) for r in got.select("ticker", "seq", "total", "low").collect()) == want
+    assert min(w[3] for w in want) < -1
+
+
 def test_underwater(spark):
     rng = np.random.default_rng(3)
     start = pd.Timestamp("2022-01-03")
