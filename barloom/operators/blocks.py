@@ -128,7 +128,8 @@ def running_in_bins(
     def over(kind: str, c: str, w) -> Column:
         return F.last(c, ignorenulls=True).over(w) if kind == "last" else TOTAL[kind](c).over(w)
 
-    # A low is the least of the sums so far; over the bins it goes on from the sum that each begins with.
+    # A low is the least of the sums so far; over the bins it goes on from the sum that each begins with. Rows without a
+    # date come first and drop out: they count in sums, but no low is theirs.
     lows = {n: c for n, (k, c) in totals.items() if k == "low"}
     if lows:
         df = df.withColumns({f"_w_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) - F.coalesce(c, F.lit(0)) for n, c in lows.items()})
@@ -137,7 +138,7 @@ def running_in_bins(
     per_bin = df.groupBy(*keys, "_bin").agg(*(total(k, c).alias(n) for n, (k, c) in in_bin.items()))
     if lows:
         start = {n: F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)) for n in lows}
-        per_bin = per_bin.withColumns({f"_b_{n}": c for n, c in start.items()}).withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in lows})
+        per_bin = per_bin.withColumns({f"_b_{n}": c for n, c in start.items()}).withColumns({n: F.when(F.col("_bin").isNotNull(), F.col(n) + F.col(f"_b_{n}")) for n in lows})
     carry = per_bin.select(
         *keys, "_bin", *(f"_b_{n}" for n in lows),
         *(over(in_bin[n][0], n, before).alias(f"_c_{n}") for n in totals),

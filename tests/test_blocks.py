@@ -88,6 +88,10 @@ def test_low_of_a_running_sum_in_bins(spark, bin):
     got = blocks.running_in_bins(df, Series("ticker"), bin, ("date", "seq"), total=("sum", "delta"), low=("low", "delta"))
     assert sorted(tuple(r) for r in got.select("ticker", "seq", "total", "low").collect()) == want
     assert min(w[3] for w in want) < -1
+    undated = spark.createDataFrame([("a", None, i, d) for i, d in enumerate((-1, 1, 1))], df.schema)
+    got = blocks.running_in_bins(undated.unionByName(df), Series("ticker"), bin, ("date", "seq"), total=("sum", "delta"), low=("low", "delta"))
+    moved = [(t, i, total + (t == "a"), low + (t == "a")) for t, i, total, low in want]
+    assert sorted(tuple(r) for r in got.select("ticker", "seq", "total", "low").collect()) == moved
 
 
 def test_underwater(spark):
