@@ -8,16 +8,11 @@ is bounded, nothing is shuffled, and a lost task packs the same documents the sa
 
 from __future__ import annotations
 
-import base64
-from functools import lru_cache
-
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 
-from barloom.llm.bpe import vocabulary
+from barloom.llm.bpe import encoder, vocabulary
 from barloom.llm.common import batch, texts
 
 ROW = 2048
@@ -26,13 +21,6 @@ WINDOW = 4_000_000
 PAD = 50256  # free in the vocabulary
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 class Room:
     """Open rows by the room left in them: a segment tree over 0 ... size that tells where rows are."""
 
