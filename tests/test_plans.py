@@ -1,7 +1,9 @@
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import ordered, prices
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from barloom import Series
 from barloom.functions import scalars as X
-from barloom.functions import series
+from barloom.functions import draws, series
 from barloom.operators import ledger, metrics
 from barloom.operators.ledger import Rules
 from barloom.operators.signals import STRATEGIES, multi_factor
@@ -211,6 +213,39 @@ def test_values_of_a_day_stay_in_a_row(rets):
     assert "Filter" in last and last.index("Generate") < last.index("Filter") < last.index("MapInArrow")
 
 
+def test_what_is_made_of_days_where_they_are_simulated(rets, monkeypatch):
+    """Percentiles and means of days, and one day alone, are those of the rows of all values, whole keys or shares of them."""
+    for at_once in (10_000, 7):
+        monkeypatch.setattr(bootstrap, "SIMS_AT_ONCE", at_once)
+        args = (rets, S, 20, 30)
+        stress = dict(initial=3.0, stress_probability=0.5, seed=5)
+        paths = bootstrap.simulate(*args, **stress).toPandas()
+        fan = bootstrap.fan(bootstrap.simulated_days(*args, **stress, of_days=bootstrap.FAN_OF_DAYS), "ticker")
+        assert fan.columns == ["ticker", "day", *bootstrap.FAN]
+        assert "sort_array" not in fan._jdf.queryExecution().optimizedPlan().toString()
+        got, wide = ordered(fan, "day"), paths.groupby("day")
+        for name, share in bootstrap.FAN.items():
+            assert np.allclose(got[name], wide["value"].quantile(share), rtol=1e-12, atol=0)
+        days = ordered(bootstrap.simulated_days(*args, **stress, of_days=bootstrap.STRESS_OF_DAYS), "day")
+        assert list(days.columns) == ["ticker", "day", "stressed_sims", "mean_value"] and len(days) == 30
+        assert days["stressed_sims"].tolist() == wide["stressed"].sum().tolist()
+        assert np.allclose(days["mean_value"], wide["value"].mean(), rtol=1e-12, atol=0)
+        last = ordered(bootstrap.simulate(*args, **stress, only_day=30), "sim")
+        pd.testing.assert_frame_equal(last, paths[paths["day"] == 30].sort_values("sim", ignore_index=True))
+
+
+def test_draws_are_md5_of_their_texts():
+    """Fronts that end in any byte of a block, one and two blocks, numbers of one to five digits."""
+    for front in ("", *("x" * n + "|" for n in range(36, 61)), "7|draw|12|", "é" * 22 + "|"):
+        for sims, days in ((np.arange(95, 105), np.arange(8, 12)), (np.arange(9_998, 10_002), np.arange(99, 101)), (np.arange(12), None)):
+            got = draws.hashed(front, sims, days)
+            texts = [[f"{front}{s}" for s in sims]] if days is None else [[f"{front}{s}|{d}" for s in sims] for d in days]
+            want = [[int(hashlib.md5(t.encode()).hexdigest()[:12], 16) for t in row] for row in texts]
+            assert got.tolist() == (want[0] if days is None else want)
+    numbers = np.array([0, 1, 554, 555, 556, 2**48 - 1])
+    assert all((draws.remainder(numbers, n) == numbers % n).all() for n in (1, 2, 555, 2**31))
+
+
 def test_scenarios(spark):
     assert [len(p[3]) for p in bootstrap.SCENARIOS.values()] == [60, 23, 40]
     assert bootstrap.scenario_days(spark).count() == 123
