@@ -230,6 +230,8 @@ def test_what_is_made_of_days_where_they_are_simulated(rets, monkeypatch):
         assert list(days.columns) == ["ticker", "day", "stressed_sims", "mean_value"] and len(days) == 30
         assert days["stressed_sims"].tolist() == wide["stressed"].sum().tolist()
         assert np.allclose(days["mean_value"], wide["value"].mean(), rtol=1e-12, atol=0)
+        in_order = paths.sort_values("sim").groupby("day")["value"].apply(lambda v: float(np.cumsum(v.to_numpy())[-1] / len(v)))
+        assert days["mean_value"].tolist() == in_order.tolist()
         last = ordered(bootstrap.simulate(*args, **stress, only_day=30), "sim")
         pd.testing.assert_frame_equal(last, paths[paths["day"] == 30].sort_values("sim", ignore_index=True))
 
